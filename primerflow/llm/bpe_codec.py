@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_batch, only, texts_of
-from .units import Encoder
+from .units import Encoder, Memo
 from .vocab import pattern, ranks_of
 
 UNKNOWN = "⁇"
@@ -80,15 +80,24 @@ class Codec:
         back = {c: b for b, c in enumerate(chars)}
         self.tokens = [bytes(back[c] for c in self.model.id_to_piece(r + 1)) for r in range(len(self.ranks))]
         self.cut = regex.compile(pattern()).findall
-        self.encode_units = Encoder(self._units)
+        self.pieces = Memo(self._pieces, keep=400_000)
+        self.encode_units = Encoder(self._units, keep=400_000)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, packed. A pre-token that is a token is that token, whatever the merges say."""
+        out = [self.ranks.get(p.encode(), -1) for p in pieces]
+        rest = [k for k, r in enumerate(out) if r < 0]
+        merged = self.model.encode([pieces[k].encode().decode("latin-1").translate(self.shown) for k in rest], out_type=int, num_threads=1) if rest else []
+        packed = [r.to_bytes(4, "little") if r >= 0 else b"" for r in out]
+        for k, ids in zip(rest, merged):
+            packed[k] = struct.pack(f"<{len(ids)}I", *[i - 1 for i in ids])
+        return packed
 
     def _units(self, units: list[str]) -> list[bytes]:
-        """Ids of units, packed. A pre-token that is a token is that token, whatever the merges say."""
-        parts = [[p.encode() for p in self.cut(u)] for u in units]
-        rest = sorted({p for ps in parts for p in ps if p not in self.ranks})
-        merged = self.model.encode([p.decode("latin-1").translate(self.shown) for p in rest], out_type=int, num_threads=1) if rest else []
-        known = {p: [i - 1 for i in ids] for p, ids in zip(rest, merged)}
-        return [np.array([i for p in ps for i in (known[p] if p in known else (self.ranks[p],))], "<u4").tobytes() for ps in parts]
+        cut = [self.cut(u) for u in units]
+        self.pieces.turn()
+        self.pieces.learn({p for ps in cut for p in ps})
+        return [b"".join(map(self.pieces.__getitem__, ps)) for ps in cut]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -5,17 +5,19 @@ pieces of every distinct pre-token once, over the whole corpus, and the counts a
 ids of a document are ever made.
 
 Documents are taken in blocks of bounded text. A block has one list of its distinct pre-tokens and, for each
-document, packed (place in that list, frequency) pairs; only the lists are dealt out for counting, so a common
-pre-token has one row a block. A null text counts as empty (0 bytes, 0 tokens). Special strings inside a text
+document, packed (place in that list, frequency) pairs; only the lists are dealt out by pre-token for counting, so
+a common pre-token has one row a block. The counts go back to their blocks. A null text counts as empty (0 bytes, 0 tokens). Special strings inside a text
 are one pre-token each, as the library reads them. Keys may be null or repeat: one row out per row in.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,12 @@ from .units import Encoder
 from .vocab import ids_of, pattern, tokenizer
 
 #: Characters of text after which a block ends.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 12_000_000
+#: Counted pre-tokens that a task holds before it passes them on.
+_ROWS = 1_000_000
 
-_BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, sizes binary, places binary, times binary, pieces array<string>"
+_BLOCKS = "block long, packed binary, pieces array<string>"
+_COUNTS = "block long, places binary, n binary"
 _OUT = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -55,7 +60,7 @@ class Pieces:
 
 
 def blocks(docs: DataFrame, path: str) -> DataFrame:
-    """Per block of documents: their ids and sizes, the distinct pre-tokens, and each document's frequencies."""
+    """Per block of documents: its distinct pre-tokens in order, and the packed ids, sizes and frequencies."""
     short_batches(docs.sparkSession)
     names, types = arrow_fields(docs.sparkSession, _BLOCKS)
 
@@ -65,9 +70,11 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
         number, rows, pieces, chars = TaskContext.get().partitionId() << 32, [], Pieces(path), 0
 
         def block():
-            ids, size, places, times = zip(*rows)
-            one = [number, ids, size, np.array([p.size for p in places], "<u4").tobytes(), np.concatenate(places).astype("<u4").tobytes(), np.concatenate(times).astype("<u4").tobytes(), list(pieces.number)]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, types)], names)
+            listed = sorted(pieces.number)
+            rank = np.empty(len(listed), np.int64)
+            rank[[pieces.number[p] for p in listed]] = np.arange(len(listed))
+            packed = pack(rows, rank)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((number, packed, listed), types)], names)
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
@@ -82,15 +89,70 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(run, _BLOCKS)
 
 
-def piece_counts(pieces: DataFrame, path: str) -> DataFrame:
-    """``piece``, ``n``: tokens of each row's piece, by the library."""
+def pack(rows: list[tuple], rank: np.ndarray) -> bytes:
+    """(id, bytes, places, times) of each document as compressed columns. Places are sorted and kept as steps of
+    16 bits, times as 8 bits; larger ones are listed apart."""
+    ids, size, places, times = zip(*rows)
+    order = [np.argsort(rank[p]) for p in places]
+    step = np.concatenate([np.diff(rank[p][o], prepend=0) for p, o in zip(places, order)])
+    time = np.concatenate([t[o] for t, o in zip(times, order)])
+    null = [i is None for i in ids]
+    columns = [np.array([i or 0 for i in ids], "<i8"), np.array(null, "<u1"), np.array(size, "<i8"), np.array([p.size for p in places], "<u4")]
+    for values, kind, most in ((step, "<u2", 2**16 - 1), (time, "<u1", 2**8 - 1)):
+        far = np.flatnonzero(values >= most)
+        columns += [np.minimum(values, most).astype(kind), far.astype("<i8"), values[far].astype("<i8")]
+    raw = [c.tobytes() for c in columns]
+    return np.array([len(r) for r in raw], "<i8").tobytes() + zlib.compress(b"".join(raw), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, which are null, bytes, pre-tokens of each document; place and times of each pre-token."""
+    kinds = ["<i8", "<u1", "<i8", "<u4", "<u2", "<i8", "<i8", "<u1", "<i8", "<i8"]
+    cut = np.concatenate([[0], np.cumsum(np.frombuffer(packed[: 8 * len(kinds)], "<i8"))])
+    data = zlib.decompress(packed[8 * len(kinds) :])
+    ids, null, size, each, step, far, far_step, time, often, often_time = (np.frombuffer(data[a:b], k) for a, b, k in zip(cut[:-1], cut[1:], kinds))
+    step, time = step.astype(np.int64), time.astype(np.int64)
+    step[far], time[often] = far_step, often_time
+    place = np.cumsum(step)
+    ends = np.cumsum(each.astype(np.int64))
+    base = np.concatenate([[0], place[ends[:-1] - 1]]) if step.size else np.zeros(each.size, np.int64)
+    base[ends - each == 0] = 0
+    return ids, null, size, each.astype(np.int64), place - np.repeat(base, each), time
+
+
+def piece_counts(listed: DataFrame, path: str) -> DataFrame:
+    """Per block, places and tokens of pre-tokens, packed. ``listed`` has a row for each block and pre-token; equal
+    pre-tokens stand together in one partition, so that the library counts each once."""
+    names, types = arrow_fields(listed.sparkSession, _COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_n, kept, rows = None, 0, [], 0
+
+        def packed():
+            block, place, n = (np.concatenate(c) for c in zip(*kept))
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[order])) + 1
+            parts = [np.split(c[order], cuts) for c in (block, place, n)]
+            columns = [b[0] for b in parts[0]], [p.astype("<u4").tobytes() for p in parts[1]], [x.astype("<u4").tobytes() for x in parts[2]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
         for batch in batches:
-            n = [len(x) for x in ids_of(path, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], ["piece", "n"])
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(0), run_end_type=pa.int32())
+            pieces, ends = runs.values.to_pylist(), np.asarray(runs.run_ends)
+            first = pieces[0] == last
+            n = [last_n] * first + [len(x) for x in ids_of(path, pieces[first:])]
+            last, last_n = pieces[-1], n[-1]
+            kept.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.repeat(n, np.diff(ends, prepend=0))))
+            rows += batch.num_rows
+            if rows >= _ROWS:
+                yield packed()
+                kept, rows = [], 0
+        if rows:
+            yield packed()
 
-    return pieces.select("piece").mapInArrow(run, "piece string, n int")
+    return listed.select("piece", "block", "place").mapInArrow(run, _COUNTS)
 
 
 def count(docs: DataFrame, path: str) -> DataFrame:
@@ -98,20 +160,22 @@ def count(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     kept = written(blocks(docs, path), "piece-blocks")
     listed = kept.select("block", F.posexplode("pieces").alias("place", "piece"))
-    n = piece_counts(listed.select("piece").distinct(), path)
-    found = listed.join(n, "piece").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "n")))["n"].alias("n"))
+    n = piece_counts(listed.repartition("piece").sortWithinPartitions("piece"), path)
+    found = n.groupBy("block").agg(F.collect_list(F.struct("places", "n")).alias("n"))
     names, types = arrow_fields(spark, _OUT)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, size, each, places, times, n in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5)):
-                each = np.frombuffer(each, "<u4").astype(np.int64)
-                n = n.values.to_numpy() if n.is_valid else np.zeros(0, np.int32)
-                sums = np.concatenate([[0], np.cumsum(n[np.frombuffer(places, "<u4")].astype(np.int64) * np.frombuffer(times, "<u4"))])
+            for packed, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, null, size, each, place, times = unpack(packed)
+                n = np.zeros(int(place.max(initial=-1)) + 1, np.int64)
+                for part in parts or []:
+                    at, count = np.frombuffer(part["places"], "<u4"), np.frombuffer(part["n"], "<u4")
+                    here = at < n.size
+                    n[at[here]] = count[here]
+                sums = np.concatenate([[0], np.cumsum(n[place] * times)])
                 ends = np.cumsum(each)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, size, sums[ends] - sums[ends - each]), types)], names)
-
-    whole = kept.drop("pieces").join(found, "block", "left")
-    return whole.select("doc_ids", "n_bytes", "sizes", "places", "times", "n").mapInArrow(total, _OUT)
-
+                columns = [pa.array(ids, types[0], mask=null.astype(bool)), pa.array(size, types[1]), pa.array(sums[ends] - sums[ends - each], types[2])]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
+    return kept.drop("pieces").join(found, "block", "left").select("packed", "n").mapInArrow(total, _OUT)

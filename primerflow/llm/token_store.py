@@ -20,7 +20,6 @@ import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_fields, new_path, only, short_batches, texts_of
 from .perfect_hash import PerfectHash, fingerprint, key_of
-from .units import Encoder
-from .vocab import packed_ids, tokenizer
+from .fast_bpe import fast_bpe
+from .vocab import tokenizer
 
 _CATALOG = "shard int, doc_id long, repeat long"
 _SUMS = "shard int, n_docs long, n_tokens long"
@@ -45,17 +44,12 @@ class Store:
     catalog: DataFrame
 
 
-@lru_cache(maxsize=2)
-def _encoder(vocab: str) -> Encoder:
-    return Encoder(packed_ids(vocab))
-
-
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
 def write(docs: DataFrame, vocab: str, end_id: int = 0, path: str | None = None) -> Store:
-    """Encodes ``text`` with the tokenizers library and writes the shards below ``path`` (a folder that all see)."""
+    """Encodes ``text`` by a file of the tokenizers library (``fast_bpe``) and writes the shards below ``path`` (a folder that all see)."""
     spark = docs.sparkSession
     short_batches(spark)
     path = path or new_path(spark, "tokens")
@@ -66,7 +60,7 @@ def write(docs: DataFrame, vocab: str, end_id: int = 0, path: str | None = None)
         fs, at = _file_system(path)
         task = TaskContext.get()
         number, own = task.partitionId(), f"{at}/.{task.partitionId():06d}-{task.taskAttemptId()}"
-        encode, out = _encoder(vocab), None
+        encode, out = fast_bpe(vocab).packed, None
         keys, counts, last, repeat = [], [], (), 0
         for batch in batches:
             if not batch.num_rows:
@@ -79,9 +73,8 @@ def write(docs: DataFrame, vocab: str, end_id: int = 0, path: str | None = None)
                 repeat = repeat + 1 if (i,) == last else 0
                 last = (i,)
                 seen.append(repeat)
-            encode.learn(texts)
-            for t in texts:
-                one = np.append(np.frombuffer(b"".join(encode(t)), "<u4"), end_id)
+            for one in encode(texts):
+                one = np.append(one, end_id)
                 counts.append(one.size)
                 out.write(one.astype(f"<u{wide}").tobytes())
             null = np.array([i is None for i in ids])
