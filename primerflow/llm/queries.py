@@ -7,16 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, token_count, token_store
+from . import bpe_codec, quality_rules, simhash, token_count, token_store
 from .common import table
 from .vocab import public
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document: three words, three bits."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents as binary shards, read back by key."""
     return token_store.digests(token_store.write(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json")))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of each document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, and whether they are over 512."""
     out = token_count.count(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
@@ -29,7 +41,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_store, op5_token_counts, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_store, op3_quality_rules, op5_token_counts, op10_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
