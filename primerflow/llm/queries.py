@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, quality_rules, simhash, token_count, token_store
+from . import bpe_codec, packing, quality_rules, simhash, token_count, token_store, warc
 from .common import table
 from .vocab import public
 
@@ -29,20 +29,42 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of each piece of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, and whether they are over 512."""
     out = token_count.count(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the archives of all pages."""
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of ids and decoded bytes of each document."""
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), public("byte_bpe_50k.tiktoken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_store, op3_quality_rules, op5_token_counts, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_store, op3_quality_rules, op4_packing, op5_token_counts, op8_warc, op10_bpe_codec)}
+
+
+#: Equal payloads of at least 100 bytes revisit the smallest page_id.
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}

@@ -67,7 +67,7 @@ def write(docs: DataFrame, vocab: str, end_id: int = 0, path: str | None = None)
                 continue
             if out is None:
                 fs.create_dir(at)
-                out = fs.open_output_stream(own + ".ids")
+                out = fs.open_output_stream(own + ".ids", compression=None)
             ids, texts, seen = batch.column(0).to_pylist(), texts_of(batch.column(1)), []
             for i in ids:
                 repeat = repeat + 1 if (i,) == last else 0
