@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, packing, quality_rules, simhash, token_count, token_store, warc
+from . import bpe_codec, packing, quality_rules, simhash, token_count, token_store, topk, warc
 from .common import table
 from .vocab import public
 
@@ -45,13 +45,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest scores of each row whose id is divisible by 100, against all rows."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of ids and decoded bytes of each document."""
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), public("byte_bpe_50k.tiktoken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_store, op3_quality_rules, op4_packing, op5_token_counts, op8_warc, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_store, op3_quality_rules, op4_packing, op5_token_counts, op8_warc, op9_topk, op10_bpe_codec)}
 
 
 #: Equal payloads of at least 100 bytes revisit the smallest page_id.
