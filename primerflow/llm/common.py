@@ -84,3 +84,13 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_keys(docs: DataFrame, d: str = "d", h: str = "h") -> DataFrame:
+    """``docs`` with two columns that name a row by id and text, null ids apart from others."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({d: F.coalesce("doc_id", F.lit(0)).cast("long"), h: F.xxhash64(text, F.col("doc_id").isNull())})
+
+
+#: Names of these columns beside all columns of a table.
+ROW_KEY = ("__row_d", "__row_h")

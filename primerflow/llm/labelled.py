@@ -40,9 +40,9 @@ def labelled(labels: DataFrame, size: int) -> DataFrame:
 
 def gather(docs: DataFrame, chosen: DataFrame, *columns: str) -> Sample:
     """Features of the chosen ids' documents. ``chosen`` has a bounded number of rows, so it is broadcast."""
-    kept = [c for c in chosen.columns if c != "doc_id"]
-    columns = (*columns, *kept)
-    joined = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *columns)
+    own = docs.select("doc_id", "text", *[column_or_null(docs, c).alias(c) for c in columns])
+    columns = (*columns, *[c for c in chosen.columns if c != "doc_id"])
+    joined = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *columns)
     kinds = dict(joined.dtypes)
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -76,4 +76,4 @@ def held_out(ids: np.ndarray) -> np.ndarray:
 
 
 def column_or_null(df: DataFrame, name: str) -> Column:
-    return F.col(f"`{name}`") if name in df.columns else F.lit(None)
+    return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")

@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import by_batch, only, texts_of
 from .labelled import Sample, gather, held_out, labelled
@@ -75,8 +76,14 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def apply(docs: DataFrame, model: Linear | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The measures, the probability (null without a model) and the verdict of every document."""
+def keep(docs: DataFrame, model: Linear | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    own = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return apply(own, model, threshold, "row").where("kept").select("row.*")
+
+
+def apply(docs: DataFrame, model: Linear | None, threshold: float = THRESHOLD, *carried: str) -> DataFrame:
+    """The measures, the probability (null without a model) and the verdict of every document, and carried columns."""
     light = Linear(model.weights.astype(np.float32), model.slope, model.shift) if model else None
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -93,6 +100,6 @@ def apply(docs: DataFrame, model: Linear | None, threshold: float = THRESHOLD) -
             out["n_dup_lines"].append(duplicate_lines(t))
         out["base_failed"] = [n < MIN_WORDS or 100 * r > 50 * n for n, r in zip(out["n_words"], out["n_repeat_words"])]
         out["kept"] = [not b and (p is None or p >= threshold) for b, p in zip(out["base_failed"], out["probability"])]
-        return out
+        return out | {c: batch.column(2 + k) for k, c in enumerate(carried)}
 
-    return by_batch(only(docs, "doc_id", "text"), run, MEASURES)
+    return by_batch(only(docs, "doc_id", "text", *carried), run, MEASURES + "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carried))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, packing, quality_rules, simhash, suffix_dedup, token_count, token_store, topk, warc
+from . import bpe_codec, cotraining, packing, quality_rules, simhash, suffix_dedup, token_count, token_store, topk, warc
 from .common import table
 from .vocab import public
 
@@ -45,6 +45,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both views' probabilities, the combined one and the verdict of each document."""
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the archives of all pages."""
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
@@ -61,7 +67,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_store, op3_quality_rules, op4_packing, op5_token_counts, op6_suffix_dedup, op8_warc, op9_topk, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_store, op3_quality_rules, op4_packing, op5_token_counts, op6_suffix_dedup, op7_cotraining, op8_warc, op9_topk, op10_bpe_codec)}
 
 
 #: Equal payloads of at least 100 bytes revisit the smallest page_id.

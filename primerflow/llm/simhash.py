@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, only, texts_of, written
+from . import resemblance
+from .common import ROW_KEY, by_batch, only, row_keys, texts_of, written
 from .components import components, forest
 from .golay import nearby
 
@@ -200,3 +201,42 @@ def groups(prints: DataFrame, bits: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
     """``groups`` of the documents' fingerprints."""
     return groups(written(fingerprints(docs, words), "fingerprints"), bits)
+
+
+def deduplicate(docs: DataFrame, words: int = 5, bits: int = 3, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the smallest doc_id (a null id last).
+
+    Fingerprints of ``words``-word shingles link texts as above. At a Jaccard similarity of 0.8 two 64-bit fingerprints
+    differ in about 10 bits, so 3 bits alone would miss most such pairs; pairs of at least ``similarity`` on their
+    shingle sets are linked as well (``resemblance``). Rows equal in id and text stay as one. Texts without words
+    are all alike.
+    """
+    slim = written(row_keys(only(docs, "doc_id", "text")).select("d", "h", F.col("doc_id").isNull().alias("null"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text")), "near-texts")
+    # one row of each text makes its shingles
+    least = F.min(F.struct("d", "h"))
+    one = slim.groupBy("node").agg(least.alias("one"), F.count("*").alias("copies"))
+    single = slim.join(one.select("node", "one.*"), ["node", "d", "h"]).select("node", "text")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        nodes, prints, keys, packed = batch.column(0), [], [], []
+        for text in batch.column(1).to_pylist():
+            hashes = shingle_hashes(text, words)
+            own = np.unique(hashes)
+            prints.append(fingerprint(hashes))
+            keys.append(resemblance.bands(own) if own.size else [])
+            packed.append(own.astype("<u8").tobytes())
+        return {"node": nodes, "fingerprint": prints, "bands": keys, "shingles": packed}
+
+    made = written(by_batch(single, run, "node long, fingerprint long, bands array<long>, shingles binary"), "near-sets")
+    printed = made.groupBy("fingerprint").agg(F.min("node").alias("first"))
+    near = links(printed, bits)
+    name = lambda c: printed.select(F.col("fingerprint").alias(c), F.col("first").alias(f"{c}_node"))
+    by_print = near.join(name("u"), "u").join(name("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    same_print = made.join(printed, "fingerprint").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    stars = components(by_print.unionByName(same_print).unionByName(resemblance.links(made, similarity)))
+    root = F.coalesce("v", "node").alias("root")
+    rooted = slim.drop("text").join(stars, slim["node"] == stars["u"], "left").select("d", "h", "null", root)
+    stays = rooted.groupBy("root").agg(F.min(F.struct("null", "d", "h")).alias("s")).select("s.d", "s.h")
+    kept = row_keys(docs, *ROW_KEY).join(stays.toDF(*ROW_KEY), list(ROW_KEY), "left_semi")
+    repeats = slim.groupBy("d", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return (kept if repeats else kept.dropDuplicates(list(ROW_KEY))).drop(*ROW_KEY)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, by_batch, short_batches, texts_of, written
+from .common import ROW_KEY, arrow_fields, by_batch, only, row_keys, texts_of, written
 
 LENGTH, ANCHOR = 200, 64
 SLICE, BLOCK, VARIANTS = 1 << 20, 1_500_000, 20_000
@@ -86,8 +86,7 @@ def runs(data: bytes, length: int = LENGTH, anchor: int = ANCHOR, part: int = SL
 
 def _keys(docs: DataFrame) -> DataFrame:
     """d, h, doc_id, text: d and h name a row by id and text."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("d"), F.xxhash64(text, F.col("doc_id").isNull()).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return row_keys(only(docs, "doc_id", "text")).select("d", "h", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def all_runs(docs: DataFrame, length: int) -> DataFrame:
@@ -281,31 +280,44 @@ def merged(rows: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
-    """doc_id, kept (the bytes that stay), n_bytes, n_removed, n_spans of each row. A cut may part a character; whoever
-    needs text decodes ``kept`` leniently."""
-    return _apply(docs, length, keep_first, lambda kept: {"kept": kept}, "kept binary")
+def dedup(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
+    """``docs`` with ``text`` reduced to what stays; whole characters only: a character of which a byte goes, goes."""
+    found = spans(docs, length, keep_first).toDF(*ROW_KEY, "__spans")
+    rest = [c for c in docs.columns if c != "text"]
+    joined = row_keys(docs, *ROW_KEY).join(found, list(ROW_KEY), "left").select("text", "__spans", *[F.col(f"`{c}`") for c in rest])
+    kinds = dict(docs.dtypes)
 
-
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    return _apply(docs, length, False, lambda kept: {"kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}, "kept_sha256 string")
+    def run(batch: pa.RecordBatch) -> dict:
+        out = []
+        for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            cut = merged(rows, length)
+            if cut:
+                data, parts, at = text.encode(), [], 0
+                for a, b in cut:
+                    parts.append(data[at:a].decode(errors="ignore"))
+                    at = b
+                text = "".join([*parts, data[at:].decode(errors="ignore")])
+            out.append(text)
+        return {"text": out} | {c: batch.column(k + 2) for k, c in enumerate(rest)}
+
+    short = ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns)
+    return by_batch(joined, run, short)
 
 
-def _apply(docs: DataFrame, length: int, keep_first: bool, last, schema: str) -> DataFrame:
-    short_batches(docs.sparkSession)
-    joined = compressed(docs).join(spans(docs, length, keep_first), ["d", "h"], "left").select("doc_id", "z", "spans")
+def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, all places of a passage removed."""
+    joined = compressed(docs).join(spans(docs, length), ["d", "h"], "left").select("doc_id", "z", "spans")
 
     def run(batch: pa.RecordBatch) -> dict:
-        unpack, out, kept = zstandard.ZstdDecompressor(), {"n_bytes": [], "n_removed": [], "n_spans": []}, []
+        unpack, out = zstandard.ZstdDecompressor(), {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
         for z, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             data, cut, parts, at = unpack.decompress(z), merged(rows, length), [], 0
             for a, b in cut:
                 parts.append(data[at:a])
                 at = b
-            kept.append(b"".join([*parts, data[at:]]))
-            for n, v in zip(out, (len(data), len(data) - len(kept[-1]), len(cut))):
+            kept = b"".join([*parts, data[at:]])
+            for n, v in zip(out, (len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest())):
                 out[n].append(v)
-        return {"doc_id": batch.column(0)} | out | last(kept)
+        return {"doc_id": batch.column(0)} | out
 
-    return by_batch(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, " + schema)
+    return by_batch(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
