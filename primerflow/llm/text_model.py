@@ -1,7 +1,8 @@
 """A linear model on hashed word and character n-grams: features by the batch, fitting, calibration.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text. Features of a text are its words, pairs of neighbouring
-words, and runs of 3 and 4 bytes inside words (word ends marked), each hashed to one of ``2**BITS`` places; the
+words (those of a word with itself share one place), and runs of 3 and 4 bytes inside words (word ends marked), each
+hashed to one of ``2**BITS`` places; the
 score is the mean weight over all of them, so length alone does not move it. All sums run over whole texts.
 """
 
@@ -76,6 +77,7 @@ class Words:
         same = np.flatnonzero(text[:-1] == text[1:]) if text.size else np.zeros(0, np.int64)
         with np.errstate(over="ignore"):
             h = self.hash[self.ids[same]] * _P[1] + self.hash[self.ids[same + 1]] * _P[2]
+        h[self.ids[same] == self.ids[same + 1]] = 0
         return _place(h), text[same]
 
     def sums(self, per_word: np.ndarray) -> np.ndarray:
