@@ -1,0 +1,8 @@
+"""Queries of the engine's operators over the driver's tables, and their SQL."""
+
+from . import modules
+
+QUERIES, SQL = {}, {}
+for part in (modules,):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
