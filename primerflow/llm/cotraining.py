@@ -26,7 +26,7 @@ from .common import by_batch, texts_of
 from .labelled import Sample, column_or_null, first_by_hash, gather, held_out, labelled
 from .text_model import BITS, Linear, Words, calibrate, fit, in_parts
 
-LABELLED, POOL, ROUNDS, CERTAIN, GIVEN = 4000, 4000, 3, 0.98, 200
+LABELLED, POOL, ROUNDS, CERTAIN, GIVEN = 1600, 1200, 3, 0.98, 100
 THRESHOLD = 0.5
 PAGE_BITS = 12
 META = ("lang", "source", "n_chars")

@@ -62,10 +62,10 @@ def gather(docs: DataFrame, chosen: DataFrame, *columns: str) -> Sample:
         if r["doc_id"] not in seen:
             seen.add(r["doc_id"])
             unique.append(r)
-    place = [np.frombuffer(r["place"], "<i4") for r in unique]
-    row = np.repeat(np.arange(len(unique)), [p.size for p in place])
-    flat = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
-    return Sample(np.array([r["doc_id"] for r in unique], np.int64), row, flat(place, np.int64).astype(np.int64), flat([np.frombuffer(r["value"], "<f4") for r in unique], float).astype(float), {c: [r[c] for r in unique] for c in columns})
+    del rows
+    size = [len(r["place"]) // 4 for r in unique]
+    place, value = (np.frombuffer(b"".join(r[n] for r in unique), kind) for n, kind in (("place", "<i4"), ("value", "<f4")))
+    return Sample(np.array([r["doc_id"] for r in unique], np.int64), np.repeat(np.arange(len(unique), dtype=np.int32), size), place, value, {c: [r[c] for r in unique] for c in columns})
 
 
 def held_out(ids: np.ndarray) -> np.ndarray:

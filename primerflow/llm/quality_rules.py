@@ -21,7 +21,7 @@ from .labelled import Sample, gather, held_out, labelled
 from .text_model import BITS, Linear, Words, calibrate, fit, in_parts
 
 #: Labelled documents that the classifier is fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 2400
 #: A document stays if its probability of good quality is at least this.
 THRESHOLD = 0.5
 MIN_WORDS = 50
