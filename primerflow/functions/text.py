@@ -143,20 +143,28 @@ NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve t
 
 def item_number(text: Column) -> Column:
     """The number at the start of "Number 5 ..." or "Number five ..."; null without."""
-    word = F.regexp_extract(F.lower(trim(text)), rf"^number{SPACE}+(\d+|[a-z]+(?:-[a-z]+)?)", 1)
+    word = F.lower(F.regexp_extract(text, rf"(?i)^{SPACE}*number{SPACE}+([\w-]+)\b", 1))
     known = F.create_map(*[F.lit(x) for k, w in enumerate(NUMBER_WORDS) for x in (w, k + 1)])
-    return F.coalesce(word.try_cast("int"), F.try_element_at(known, word), F.try_element_at(known, F.split(word, "-")[0]))
+    return F.when(word.rlike(r"^\d+$"), word.try_cast("int")).otherwise(F.try_element_at(known, word))
 
 
-def image_refs(text: Column, digits: int = 9) -> Column:
-    """array of struct(idx, caption) for ``![#N caption](...)``."""
-    pattern = rf"!\[#(\d{{1,{digits}}}){SPACE}*([^\]]*)\]"
-    return F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("n"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("c")), lambda x: F.struct(x["n"].cast("int").alias("idx"), trim(x["c"]).alias("caption")))
+def image_refs(text: Column) -> Column:
+    """array of struct(filename, page, idx, panel, caption) for ``![#N caption](images/page_P_I.jpg)``; doubled brackets
+    are stripped, panel numbers have three digits at most (P22)."""
+    pattern = r"!\[(.*?)\]\(images/(page_(\d+)_(\d+)\.(?:png|jpe?g))\)"
+    alt, name, page, idx = (F.regexp_extract_all(text, F.lit(pattern), k) for k in (1, 2, 3, 4))
+    made = F.arrays_zip(alt.alias("alt"), name.alias("name"), page.alias("page"), idx.alias("idx"))
+
+    def row(x: Column) -> Column:
+        bare = F.regexp_replace(x["alt"], r"^\[+|\]+$", "")
+        return F.struct(x["name"].alias("filename"), x["page"].cast("int").alias("page"), x["idx"].cast("int").alias("idx"), or_null(F.regexp_extract(bare, r"^#(\d{1,3})\b", 1)).cast("int").alias("panel"), F.regexp_replace(bare, rf"^#\d+{SPACE}*", "").alias("caption"))
+
+    return F.transform(made, row)
 
 
 def clip_parts(name: Column) -> Column:
     """struct(lesson, fig) of a clip's file name; null where it is none."""
-    pattern = r"(?i)^bk[^-]*-l([^-]+)-f(\d+)-.*\.mp3$"
+    pattern = r"(?i)^bk\w+-l(\d+[a-d])-f(\d+)-.+\.mp3$"
     return F.when(name.rlike(pattern), F.struct(F.upper(F.regexp_extract(name, pattern, 1)).alias("lesson"), F.regexp_extract(name, pattern, 2).cast("int").alias("fig")))
 
 
@@ -167,9 +175,9 @@ def clip_base(book: Column, lesson: Column, fig: Column) -> Column:
 
 def spoken(line: Column) -> Column:
     """What a line says: without tokens, an option's id, or the field or speaker before the colon."""
-    bare = trim(F.regexp_replace(line, r"\{[^{}]*\}", ""))
-    option = F.regexp_extract(bare, r"(?s)^OPTION:[^|]*\|(.*)$", 1)
-    return trim(F.when(bare.startswith("OPTION:") & bare.contains("|"), option).otherwise(F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9_]*:", "")))
+    bare = trim(F.regexp_replace(line, r"\{[^{}]*\}", " "))
+    option, field = rf"^OPTION:{SPACE}*[^|]+\|{SPACE}*(.*)$", rf"^[A-Za-z][A-Za-z0-9_]*:{SPACE}*(.*)$"
+    return trim(F.when(bare.rlike(option), F.regexp_extract(bare, option, 1)).when(bare.rlike(field), F.regexp_extract(bare, field, 1)).otherwise(bare))
 
 
 def token_key(word: Column) -> Column:
@@ -187,28 +195,26 @@ def _in_words(n: int) -> str:
 
 def spoken_tokens(text: Column) -> Column:
     """Words of a text as they are spoken (P25): ``6:30`` and runs of three or four digits as clock times, one or two
-    digits as numbers, then only letters and inner apostrophes. The digits are looked up in a literal map."""
-    names = F.create_map(*[F.lit(x) for n in range(100) for x in (str(n), _in_words(n))])
-    marked = F.regexp_replace(F.lower(text), r"\b(\d{1,2}):(\d{2})\b", " \u0001$1\u0002$2\u0001 ")
-    marked = F.regexp_replace(marked, r"\b(\d{1,2})(\d{2})\b", " \u0001$1\u0002$2\u0001 ")
+    digits as numbers, then only letters and inner apostrophes. Times and numbers are marked off by control
+    characters and looked up in a literal map."""
+    names = F.create_map(*[F.lit(x) for n in range(100) for x in (n, _in_words(n))])
+    marked = F.regexp_replace(F.lower(text), r"(\d{1,2}):(\d{2})", "\u0001$1\u0002$2\u0001")
+    marked = F.regexp_replace(marked, r"(?<!\u0002)\b(\d{1,2})([0-5]\d)\b(?!\u0002)", "\u0001$1\u0002$2\u0001")
+    marked = F.regexp_replace(marked, r"(?<!\u0002)\b(\d{1,2})\b(?!\u0002)", "\u0001$1\u0001")
 
     def say(part: Column) -> Column:
-        pair = F.split(part, "\u0002")
-        hour, minute = (F.try_element_at(names, pair[k].try_cast("int").cast("string")) for k in (0, 1))
-        small = pair[1].try_cast("int")
-        clock = F.when(small == 0, F.concat(hour, F.lit(" o'clock"))).when(small < 10, F.concat(hour, F.lit(" oh "), minute)).otherwise(F.concat(hour, F.lit(" "), minute))
-        number = F.try_element_at(names, part.try_cast("int").cast("string"))
-        return F.when(part.contains("\u0002"), clock).otherwise(F.coalesce(number, part))
-
-    pieces = F.transform(F.split(F.regexp_replace(marked, r"\b(\d{1,2})\b(?!\u0002)(?<!\u0002\d{2})", " \u0001$1\u0001 "), "\u0001"), say)
-    words = F.split(F.regexp_replace(F.array_join(pieces, " "), "[^a-z']+", " "), " ")
+        hour, minute = (F.get(F.split(part, "\u0002"), F.lit(k)).try_cast("int") for k in (0, 1))
+        clock = F.concat_ws(" ", F.try_element_at(names, hour), F.when(minute == 0, "o'clock").otherwise(F.try_element_at(names, minute)))
+        return F.when(part.contains("\u0002"), clock).otherwise(F.coalesce(F.try_element_at(names, F.when(part.rlike(r"^\d{1,2}$"), part).try_cast("int")), part))
+
+    pieces = F.array_join(F.transform(F.split(marked, "\u0001"), say), "")
+    words = F.split(F.regexp_replace(pieces, "[^a-z']+", " "), " ")
     return F.filter(F.transform(words, lambda w: F.regexp_replace(w, "^'+|'+$", "")), lambda w: w != "")
 
 
 def file_title(heading: Column) -> Column:
-    """A heading as a file name: other than word characters, dots, dashes and spaces dropped, 80 characters."""
-    plain = F.regexp_replace(F.regexp_replace(heading, r"[/\\]+", " "), r"[^A-Za-z0-9_.\- ]", "")
-    return F.substring(squeeze(plain), 1, 80)
+    """A heading as a file name: slashes and white space to one space, other characters dropped, 80 at most."""
+    return F.substring(squeeze(F.regexp_replace(F.regexp_replace(heading, r"[/\\]+", " "), r"[^A-Za-z0-9 _.\-]", "")), 1, 80)
 
 
 def padded(n: Column, width: int = 3) -> Column:
@@ -281,10 +287,10 @@ def cache_key(*parts: Column) -> Column:
 def box_region(box: Column, width: Column, height: Column, grow: float = 0.0) -> Column:
     """struct(x, y, w, h) in pixels of a box [ymin, xmin, ymax, xmax] on 0..1000, grown about its centre and clamped;
     null where it is empty (P36)."""
-    edge = lambda lo, hi, sign: clamp(0.0, (box[lo] + box[hi]) / 2 + sign * (box[hi] - box[lo]) / 2 * (1 + grow), 1000.0)
+    edge = lambda lo, hi, sign: clamp(0.0, (box[lo] + box[hi]) / 2 + sign * ((box[hi] - box[lo]) * (1 + grow)) / 2, 1000.0)
     x, y = (nearest(edge(a, b, -1) / 1000 * size) for a, b, size in ((1, 3, width), (0, 2, height)))
-    right, bottom = (nearest(edge(a, b, 1) / 1000 * size) for a, b, size in ((1, 3, width), (0, 2, height)))
-    return F.when((right > x) & (bottom > y), F.struct(x.alias("x"), y.alias("y"), (right - x).alias("w"), (bottom - y).alias("h")))
+    w, h = (nearest((edge(a, b, 1) - edge(a, b, -1)) / 1000 * size) for a, b, size in ((1, 3, width), (0, 2, height)))
+    return F.when((w > 0) & (h > 0), F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")))
 
 
 def png_size(content: Column) -> Column:

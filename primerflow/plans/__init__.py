@@ -1,8 +1,8 @@
 """Queries of the engine's operators over the driver's tables, and their SQL."""
 
-from . import modules
+from . import modules, speech, tables
 
 QUERIES, SQL = {}, {}
-for part in (modules,):
+for part in (modules, speech, tables):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
