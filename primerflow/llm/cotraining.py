@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, texts_of
 from .labelled import Sample, column_or_null, first_by_hash, gather, held_out, labelled
+from .quality_rules import kept_rows
 from .text_model import BITS, Linear, Words, calibrate, fit, in_parts
 
 LABELLED, POOL, ROUNDS, CERTAIN, GIVEN = 1600, 1200, 3, 0.98, 100
@@ -117,12 +118,12 @@ def train(docs: DataFrame, labels: DataFrame, size: int = LABELLED, pool: int =
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, *carried: str) -> DataFrame:
     """doc_id, p_text, p_page, probability, kept, and carried columns, of every document."""
-    own = docs.select("doc_id", "text", *[column_or_null(docs, c).alias(c) for c in META], *[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(carried)])
+    own = docs.select("doc_id", "text", *[column_or_null(docs, c).alias(c) for c in META], *[F.col(f"`{c}`").alias(f"__carried_{k}") for k, c in enumerate(carried) if c != "text"])
     kinds = dict(docs.dtypes)
     light = Model(Linear(model.text.weights.astype(np.float32), model.text.slope, model.text.shift), model.page, model.mix) if model else None
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {"doc_id": batch.column(0)} | {c: batch.column(5 + k) for k, c in enumerate(carried)}
+        out = {"doc_id": batch.column(0)} | {c: batch.column(batch.schema.get_field_index("text" if c == "text" else f"__carried_{k}")) for k, c in enumerate(carried)}
         n = batch.num_rows
         if not light:
             return out | {"p_text": [None] * n, "p_page": [None] * n, "probability": [None] * n, "kept": [True] * n}
@@ -142,5 +143,4 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, *c
 
 def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
-    own = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return score(own, model, threshold, "__row").where("kept").select("__row.*")
+    return kept_rows(docs, lambda own, names: score(own, model, threshold, *names))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, only, texts_of
+from .common import by_batch, texts_of
 from .labelled import Sample, gather, held_out, labelled
 from .text_model import BITS, Linear, Words, calibrate, fit, in_parts
 
@@ -78,8 +78,16 @@ def duplicate_lines(text: str) -> int:
 
 def keep(docs: DataFrame, model: Linear | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    own = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return apply(own, model, threshold, "row").where("kept").select("row.*")
+    return kept_rows(docs, lambda own, names: apply(own, model, threshold, *names))
+
+
+def kept_rows(docs: DataFrame, judge) -> DataFrame:
+    """``docs`` where ``judge(docs, names of the columns to carry)`` says ``kept``; columns travel under names of their own."""
+    names = [f"__{k}" for k in range(len(docs.columns))]
+    own = docs.select("*", *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names) if c != "text"])
+    carried = [n for c, n in zip(docs.columns, names) if c != "text"]
+    back = [F.col("text") if c == "text" else F.col(n).alias(c) for c, n in zip(docs.columns, names)]
+    return judge(own, ["text", *carried]).where("kept").select(*back)
 
 
 def apply(docs: DataFrame, model: Linear | None, threshold: float = THRESHOLD, *carried: str) -> DataFrame:
@@ -100,6 +108,6 @@ def apply(docs: DataFrame, model: Linear | None, threshold: float = THRESHOLD, *
             out["n_dup_lines"].append(duplicate_lines(t))
         out["base_failed"] = [n < MIN_WORDS or 100 * r > 50 * n for n, r in zip(out["n_words"], out["n_repeat_words"])]
         out["kept"] = [not b and (p is None or p >= threshold) for b, p in zip(out["base_failed"], out["probability"])]
-        return out | {c: batch.column(2 + k) for k, c in enumerate(carried)}
+        return out | {c: batch.column(batch.schema.get_field_index("text" if c == "text" else f"__carried_{k}")) for k, c in enumerate(carried)}
 
-    return by_batch(only(docs, "doc_id", "text", *carried), run, MEASURES + "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carried))
+    return by_batch(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"__carried_{k}") for k, c in enumerate(carried) if c != "text"]), run, MEASURES + "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carried))

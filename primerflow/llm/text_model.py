@@ -16,7 +16,7 @@ BITS = 18
 _MASK = np.uint64(2**BITS - 1)
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: Words of a batch that are counted at once.
-_WORDS = 1_000_000
+_WORDS = 150_000
 
 
 def _place(h: np.ndarray) -> np.ndarray:
