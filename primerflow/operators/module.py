@@ -19,8 +19,9 @@ ABSORBED = ["INTRO", "INSTRUCTION", "TTS_PROMPT", "INPUT", "CHECK", "SCENARIO",
 _TITLES = {"DIALOGUE": "Dialogue", "GRAMMAR": "Grammar", "SELECT": "Select", "PRODUCE": "Produce", "CHAT": "Chat"}
 KEY = ["doc", "lesson_no", "act_no"]
 
-by_line = Window.partitionBy("doc").orderBy("ln")
-so_far = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _so_far() -> Window:
+    return Window.partitionBy("doc").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def classify(rows: DataFrame) -> DataFrame:
 def context(classified: DataFrame) -> DataFrame:
     """The lesson and activity that each line is in (W01). A lesson ends the activity; one is made up for an activity
     before any lesson. lesson_no 0 is the header."""
-    starts, opens = F.col("marker").isin(ACTIVITIES), F.col("marker") == "LESSON"
+    starts, opens, so_far = F.col("marker").isin(ACTIVITIES), F.col("marker") == "LESSON", _so_far()
     out = classified.withColumn("opened", F.sum(F.when(opens, 1).otherwise(0)).over(so_far))
     out = out.withColumn("made_up", F.coalesce(F.max(F.when(starts & (F.col("opened") == 0), 1)).over(so_far), F.lit(0)))
     out = out.withColumn("lesson_no", (F.col("opened") + F.col("made_up")).cast("int"))
