@@ -125,11 +125,12 @@ def _verified(key: np.ndarray, side: np.ndarray, prints: np.ndarray, bits: int)
     size = np.diff(np.append(first, key.size))
     right = np.add.reduceat(side.astype(np.int64), first)
     left = size - right
-    both = np.flatnonzero((left > 0) & (right > 0) & (size > 2))
+    two = prints[first] != prints[np.minimum(first + 1, key.size - 1)]  # most keys of two have one fingerprint in both lists
+    both = np.flatnonzero((left > 0) & (right > 0) & ((size > 2) | two))
     us, vs = [], []
 
     def check(u: np.ndarray, v: np.ndarray) -> None:
-        ok = (np.bitwise_count(u ^ v) <= bits) & (u != v)
+        ok = (np.bitwise_count((u ^ v).view(np.uint64)) <= bits) & (u != v)  # unsigned: of signed numbers the absolute value is counted
         us.append(u[ok])
         vs.append(v[ok])
         if sum(x.size for x in us) > _PAIRS:
@@ -211,31 +212,28 @@ def deduplicate(docs: DataFrame, words: int = 5, bits: int = 3, similarity: floa
     shingle sets are linked as well (``resemblance``). Rows equal in id and text stay as one. Texts without words
     are all alike.
     """
-    slim = written(row_keys(only(docs, "doc_id", "text")).select("d", "h", F.col("doc_id").isNull().alias("null"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.coalesce("text", F.lit("")).alias("text")), "near-texts")
-    # one row of each text makes its shingles
-    least = F.min(F.struct("d", "h"))
-    one = slim.groupBy("node").agg(least.alias("one"), F.count("*").alias("copies"))
-    single = slim.join(one.select("node", "one.*"), ["node", "d", "h"]).select("node", "text")
+    keyed = row_keys(only(docs, "doc_id", "text")).select("d", "h", F.col("doc_id").isNull().alias("null"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
 
-    def run(batch: pa.RecordBatch) -> dict:
-        nodes, prints, keys, packed = batch.column(0), [], [], []
-        for text in batch.column(1).to_pylist():
+    def marks(batch: pa.RecordBatch) -> dict:
+        prints, keys = [], []
+        for text in texts_of(batch.column(4)):
             hashes = shingle_hashes(text, words)
-            own = np.unique(hashes)
             prints.append(fingerprint(hashes))
-            keys.append(resemblance.bands(own) if own.size else [])
-            packed.append(own.astype("<u8").tobytes())
-        return {"node": nodes, "fingerprint": prints, "bands": keys, "shingles": packed}
+            keys.append(resemblance.bands(hashes) if hashes.size else [])
+        return {n: batch.column(k) for k, n in enumerate(("d", "h", "null", "node"))} | {"fingerprint": prints, "bands": keys}
 
-    made = written(by_batch(single, run, "node long, fingerprint long, bands array<long>, shingles binary"), "near-sets")
+    slim = written(by_batch(keyed, marks, "d long, h long, null boolean, node long, fingerprint long, bands array<long>"), "near-rows")
+    made = written(slim.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")), "near-texts")
     printed = made.groupBy("fingerprint").agg(F.min("node").alias("first"))
     near = links(printed, bits)
     name = lambda c: printed.select(F.col("fingerprint").alias(c), F.col("first").alias(f"{c}_node"))
     by_print = near.join(name("u"), "u").join(name("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
     same_print = made.join(printed, "fingerprint").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    stars = components(by_print.unionByName(same_print).unionByName(resemblance.links(made, similarity)))
+    met = resemblance.met(made)
+    sets = resemblance.sets(keyed.select("node", "text"), met, lambda text: shingle_hashes(text, words))
+    stars = components(by_print.unionByName(same_print).unionByName(resemblance.links(met, sets, similarity)))
     root = F.coalesce("v", "node").alias("root")
-    rooted = slim.drop("text").join(stars, slim["node"] == stars["u"], "left").select("d", "h", "null", root)
+    rooted = slim.select("d", "h", "null", "node").join(stars, slim["node"] == stars["u"], "left").select("d", "h", "null", root)
     stays = rooted.groupBy("root").agg(F.min(F.struct("null", "d", "h")).alias("s")).select("s.d", "s.h")
     kept = row_keys(docs, *ROW_KEY).join(stays.toDF(*ROW_KEY), list(ROW_KEY), "left_semi")
     repeats = slim.groupBy("d", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
