@@ -9,17 +9,20 @@ only what is not connected yet: it makes at most one link a text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, written
+from .common import by_batch, texts_of, written
+from .perfect_hash import mix
 
 BANDS, ROWS, PART = 8, 3, 4096
 _M = np.uint64(0xFF51AFD7ED558CCD)
+_SALTS = mix(np.arange(BANDS * ROWS, dtype=np.uint64), 5)
 
 
 def bands(shingles: np.ndarray) -> list[int]:
@@ -29,9 +32,9 @@ def bands(shingles: np.ndarray) -> list[int]:
         for b in range(BANDS):
             key = np.uint64(b + 1)
             for r in range(ROWS):
-                odd = np.uint64((2 * (b * ROWS + r) + 1) * 0x9E3779B97F4A7C15 % 2**64)
-                h = (shingles ^ (shingles >> np.uint64(31))) * odd
-                key = (key ^ (h ^ (h >> np.uint64(29))).min()) * _M
+                h = (shingles ^ _SALTS[b * ROWS + r]) * _M
+                h ^= h >> np.uint64(32)
+                key = (key ^ (h * _M).min()) * _M
                 key ^= key >> np.uint64(32)
             out.append(int(key.view(np.int64)))
     return out
@@ -80,11 +83,30 @@ def connected(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
     return links
 
 
-def links(sets: DataFrame, similarity: float) -> DataFrame:
-    """``u``, ``v``: spanning links between ``node``s; ``sets`` has node, bands (array of keys), shingles (packed, distinct)."""
-    keyed = sets.select("node", F.explode("bands").alias("key"))
+def met(texts: DataFrame) -> DataFrame:
+    """node, key, n: the bands that a text shares with others, and how many share them. ``texts``: node, bands."""
+    keyed = texts.select("node", F.explode("bands").alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(keyed.join(counts, "key"), "bands")
+    return written(keyed.join(counts, "key"), "bands")
+
+
+def sets(texts: DataFrame, met: DataFrame, hashes: Callable[[str], np.ndarray]) -> DataFrame:
+    """node, shingles: the sets of texts that share a band, packed; rows of ``texts`` (node, text) may repeat."""
+
+    def small(batch: pa.RecordBatch) -> dict:
+        pack = zstandard.ZstdCompressor(level=1)
+        return {"node": batch.column(0), "z": [pack.compress(t.encode()) for t in texts_of(batch.column(1))]}
+
+    def shingles(batch: pa.RecordBatch) -> dict:
+        unpack = zstandard.ZstdDecompressor()
+        return {"node": batch.column(0), "shingles": [np.unique(hashes(unpack.decompress(z).decode())).astype("<u8").tobytes() for z in batch.column(1).to_pylist()]}
+
+    wanted = by_batch(texts, small, "node long, z binary").join(met.select("node").distinct(), "node", "left_semi")
+    return written(by_batch(wanted.groupBy("node").agg(F.first("z").alias("z")), shingles, "node long, shingles binary"), "sets")
+
+
+def links(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``u``, ``v``: spanning links between nodes that share a band (``met``), by their ``sets``."""
     parts = F.ceil(F.col("n") / PART).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
