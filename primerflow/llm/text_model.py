@@ -150,12 +150,16 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, we
 
 
 def calibrate(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that make the scores log-odds (Platt's smoothed targets, Newton steps)."""
+    """Slope and shift that make the scores log-odds (Platt's smoothed targets, Newton steps); slope 0 where scores tell
+    nothing or the wrong way."""
     up, down = (weight * y).sum(), (weight * (1 - y)).sum()
     if not up or not down:
         return 0.0, float(np.log((up + 1) / (down + 1)))
+    flat = 0.0, float(np.log(up / down))
+    if scores.std() <= 1e-6 * max(1.0, abs(float(scores.mean()))):
+        return flat
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    spread = scores.std() or 1.0
+    spread = scores.std()
     x = np.stack([(scores - scores.mean()) / spread, np.ones_like(scores)], 1)
     b = np.array([1.0, np.log(up / down)])
     for _ in range(50):
@@ -167,4 +171,4 @@ def calibrate(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
         if np.abs(step).max() < 1e-8:
             break
     slope = float(b[0] / spread)
-    return slope, float(b[1] - slope * scores.mean())
+    return (slope, float(b[1] - slope * scores.mean())) if slope > 0 else flat
