@@ -69,11 +69,12 @@ def _file(token: Column) -> Column:
 
 def peel(value: Column, audio: bool = True, image: bool = True) -> Column:
     """struct(text, audio, image): trailing ``{file}`` tokens, at most one of each kind (P04). The loop ends after two
-    successes, so it is written out twice; each pass takes the last token if its kind is allowed and still free."""
-    state = F.struct(trim(value).alias("text"), F.lit(None).cast("string").alias("audio"), F.lit(None).cast("string").alias("image"))
-    for _ in range(2):
-        state = _pass(state, audio, image)
-    return state
+    successes, so it is a fold of two passes; each takes the last token if its kind is allowed and still free. Texts
+    that don't end with a brace skip it."""
+    text = trim(value)
+    state = F.struct(text.alias("text"), F.lit(None).cast("string").alias("audio"), F.lit(None).cast("string").alias("image"))
+    folded = F.aggregate(F.array(F.lit(1), F.lit(2)), state, lambda s, _: _pass(s, audio, image))
+    return F.when(text.endswith("}"), folded).otherwise(state)
 
 
 def _pass(s: Column, audio: bool, image: bool) -> Column:

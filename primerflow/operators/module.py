@@ -241,6 +241,12 @@ def _last(use: Column, value) -> Column:
     return F.max_by(F.when(use, value), F.when(use, F.col("ln")))
 
 
+def _peeled(rows: DataFrame) -> DataFrame:
+    """Values without their tokens, as prompts, templates and responses may have them; made once."""
+    part = lambda code, **allow: F.when(F.col("code") == code, T.peel(F.col("value"), **allow))
+    return rows.withColumns({"peeled": part("P"), "shown": part("T", audio=False), "said": part("R", image=False)})
+
+
 def select_options(rows: DataFrame) -> DataFrame:
     """Options by id (A03): the first keeps the place, later ones fill in what they bring. item_no 0 is the pool."""
     option = T.option_of(F.col("value"))
@@ -252,7 +258,8 @@ def select_options(rows: DataFrame) -> DataFrame:
 
 def select_items(rows: DataFrame) -> DataFrame:
     """Items of SELECT activities, without their options."""
-    prompt, template = T.peel(F.col("value")), T.peel(F.col("value"), audio=False)
+    rows = _peeled(rows)
+    prompt, template = F.col("peeled"), F.col("shown")
     is_prompt, is_template = F.col("code") == "P", F.col("code") == "T"
     answers = F.col("code").isin("A", "a")
     feedback = F.col("field") == "FEEDBACK"
@@ -266,7 +273,8 @@ def select_items(rows: DataFrame) -> DataFrame:
 
 def produce_items(rows: DataFrame) -> DataFrame:
     """Items of PRODUCE activities."""
-    prompt, template, response = T.peel(F.col("value")), T.peel(F.col("value"), audio=False), T.peel(F.col("value"), image=False)
+    rows = _peeled(rows)
+    prompt, template, response = F.col("peeled"), F.col("shown"), F.col("said")
     is_prompt, is_template, is_response = (F.col("code") == c for c in "PTR")
     accept = F.col("field") == "ACCEPT"
     with_audio = is_response & response["audio"].isNotNull()
