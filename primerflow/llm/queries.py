@@ -82,5 +82,30 @@ FROM f
 """
 
 
+#: Texts as hexadecimal digits, two a byte; windows of 200 bytes that start more than once, and what they leave.
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT doc_id, i, md5(substring(hx, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, hx, unnest(range(CAST(length(hx) / 2 AS BIGINT) - 199)) AS i FROM d WHERE length(hx) >= 400)),
+r AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+c AS (SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM r)),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM c),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM g),
+s AS (SELECT doc_id, n, min(i) AS a, max(i) + 200 AS b FROM n GROUP BY doc_id, n),
+k AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi, a, b FROM s),
+t AS (SELECT d.doc_id, string_agg(substring(hx, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY a) || substring(any_value(hx), 2 * max(b) + 1) AS kept, sum(b - a) AS removed, count(*) AS spans FROM d JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(length(hx) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, hx))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    """Where SQL can say it; the others are tested against the libraries, brute force or held-out rows."""
+    return {"op6_suffix_dedup": OP6_SQL, "op8_warc": OP8_SQL, "op9_topk": OP9_SQL}
