@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +53,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame) -> DataFrame:
     """``u``, ``v``: each node that has an edge, but the smallest of its component, and that smallest node."""
-    now = written(edges.select("u", "v").where("u <> v").mapInArrow(_local, "u long, v long").distinct(), "edges")
+    now = written(mapped(edges.select("u", "v").where("u <> v"), _local, "u long, v long").distinct(), "edges")
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, texts_of, written
+from .common import by_batch, mapped, texts_of, written
 from .perfect_hash import mix
 
 BANDS, ROWS, PART = 8, 3, 4096
@@ -132,6 +132,6 @@ def links(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         yield from found(group)
 
     ordered = whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return ordered.select("key", "i", "j", "node", "shingles").mapInArrow(run, "u long, v long")
+    return mapped(ordered.select("key", "i", "j", "node", "shingles"), run, "u long, v long")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import resemblance
-from .common import ROW_KEY, by_batch, only, row_keys, texts_of, written
+from .common import ROW_KEY, by_batch, mapped, only, row_keys, texts_of, written
 from .components import components, forest
 from .golay import nearby
 
@@ -40,7 +40,7 @@ SEED = 42
 #: First bit and length of each segment.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Hashes of a text that are counted at once, and pairs that are verified at once.
-_HASHES, _PAIRS = 65_536, 2_000_000
+_HASHES, _PAIRS = 65_536, 500_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -186,7 +186,7 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
             u, v = forest(*(np.concatenate(c) for c in zip(*found)))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return keyed(distinct).repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "u long, v long")
+    return mapped(keyed(distinct).repartition("key").sortWithinPartitions("key", "side"), run, "u long, v long")
 
 
 def groups(prints: DataFrame, bits: int = 3) -> DataFrame:

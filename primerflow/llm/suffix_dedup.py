@@ -32,10 +32,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, arrow_fields, by_batch, only, row_keys, texts_of, written
+from .common import ROW_KEY, arrow_fields, by_batch, mapped, only, row_keys, texts_of, written
 
 LENGTH, ANCHOR = 200, 64
-SLICE, BLOCK, VARIANTS = 1 << 20, 1_500_000, 20_000
+SLICE, BLOCK, VARIANTS = 1 << 19, 800_000, 20_000
 _PLACE_BITS = 22
 _B = 0x9E3779B97F4A7C15
 _RUNS = "d long, h long, lo int, hi int, anchor long, run long"
@@ -187,7 +187,7 @@ def partial(contents: DataFrame, length: int) -> DataFrame:
             yield block(rows)
 
     ordered = contents.repartition("anchor").sortWithinPartitions("anchor", "d", "h", "lo")
-    return ordered.select("anchor", "run", "content").mapInArrow(run, _RANGES)
+    return mapped(ordered.select("anchor", "run", "content"), run, _RANGES)
 
 
 def partial_by_window(contents: DataFrame, length: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, only, short_batches, texts_of, written
+from .common import arrow_fields, mapped, only, short_batches, texts_of, written
 from .units import Encoder
 from .vocab import ids_of, pattern, tokenizer
 
@@ -86,7 +86,7 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
         if rows:
             yield block()
 
-    return only(docs, "doc_id", "text").mapInArrow(run, _BLOCKS)
+    return mapped(only(docs, "doc_id", "text"), run, _BLOCKS)
 
 
 def pack(rows: list[tuple], rank: np.ndarray) -> bytes:
@@ -152,7 +152,7 @@ def piece_counts(listed: DataFrame, path: str) -> DataFrame:
         if rows:
             yield packed()
 
-    return listed.select("piece", "block", "place").mapInArrow(run, _COUNTS)
+    return mapped(listed.select("piece", "block", "place"), run, _COUNTS)
 
 
 def count(docs: DataFrame, path: str) -> DataFrame:
@@ -178,4 +178,4 @@ def count(docs: DataFrame, path: str) -> DataFrame:
                 columns = [pa.array(ids, types[0], mask=null.astype(bool)), pa.array(size, types[1]), pa.array(sums[ends] - sums[ends - each], types[2])]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return kept.drop("pieces").join(found, "block", "left").select("packed", "n").mapInArrow(total, _OUT)
+    return mapped(kept.drop("pieces").join(found, "block", "left").select("packed", "n"), total, _OUT)

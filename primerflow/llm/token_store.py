@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, new_path, only, short_batches, texts_of
+from .common import arrow_fields, mapped, new_path, only, short_batches, texts_of
 from .perfect_hash import PerfectHash, fingerprint, key_of
 from .fast_bpe import fast_bpe
 from .vocab import tokenizer
@@ -89,7 +89,7 @@ def write(docs: DataFrame, vocab: str, end_id: int = 0, path: str | None = None)
 
     ordered = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     catalog = f"{path}/catalog"
-    ordered.mapInArrow(shard, _CATALOG).write.parquet(catalog)
+    mapped(ordered, shard, _CATALOG).write.parquet(catalog)
     return Store(path, spark.read.schema(_CATALOG).parquet(catalog))
 
 
@@ -162,7 +162,7 @@ def totals(store: Store) -> list[int]:
                 rows.append((n, head["docs"], head["tokens"]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
-    sums = sorted(tuple(r) for r in store.catalog.select("shard").distinct().mapInArrow(heads, _SUMS).collect())
+    sums = sorted(tuple(r) for r in mapped(store.catalog.select("shard").distinct(), heads, _SUMS).collect())
     out, before = [0] * (sums[-1][0] + 1 if sums else 0), 0
     for n, _, tokens in sums:
         out[n], before = before, before + tokens
@@ -191,7 +191,7 @@ def read(store: Store) -> DataFrame:
                     ids[r] = shards[n].ids(p, c).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, t) for c, t in zip((start, size, ids), types[1:]))], names)
 
-    return store.catalog.mapInArrow(look_up, _READ)
+    return mapped(store.catalog, look_up, _READ)
 
 
 def digests(store: Store) -> DataFrame:

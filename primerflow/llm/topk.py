@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, by_batch, only, written
+from .common import arrow_fields, by_batch, mapped, only, written
 
 SCALE = 1024
 SAMPLE, PIVOTS, BINS, RINGS, BLOCK = 2048, 64, 1024, 128, 4096
@@ -190,7 +190,7 @@ def _compare(index: Index, blocks: DataFrame, targets: DataFrame, chunks: int, k
             columns = np.repeat(list(best), [i.size for i, _ in best.values()]), np.concatenate([i for i, _ in best.values()]), np.concatenate([s for _, s in best.values()])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return pairs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return mapped(pairs, run, ", ".join(f"{n} long" for n in names))
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:

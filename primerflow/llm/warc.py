@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, new_path, only, short_batches
+from .common import arrow_fields, mapped, new_path, only, short_batches
 
 MIN_REVISIT = 100
 #: Compression level of records: pages are repetitive, higher levels cost several times the CPU.
@@ -170,7 +170,7 @@ def write(pages: DataFrame, path: str | None = None) -> DataFrame:
 
     typed = with_types(pages)
     names = f"{path}/names"
-    with_types(pages).mapInArrow(archive, "archive string").write.parquet(names)
+    mapped(with_types(pages), archive, "archive string").write.parquet(names)
     return spark.read.schema("archive string").parquet(names)
 
 
