@@ -244,7 +244,8 @@ def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> Da
     """d, h, spans: bytes (from, to) to remove from a row's text, not merged yet."""
     found = written(all_runs(docs, length), "runs")
     many = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("differ"))
-    again = written(found.join(many, "anchor"), "repeated-runs")
+    # a table of its own on either side of a join lets Spark split the partitions of common anchors
+    again = written(found.join(written(many, "anchors"), "anchor"), "repeated-runs")
     place = F.struct("d", "h", "lo", "hi")
     equal = written(again.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("differ").alias("differ")), "equal-runs")
     differ = equal.where("differ")
@@ -258,7 +259,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> Da
     own = F.struct("d", "h", "lo", "hi") == F.col("first")
     whole = (~own) if keep_first else (F.col("n") > 1)
     some = F.col("earlier") if keep_first else F.col("repeated")
-    marked = again.drop("differ").join(verdict, ["anchor", "run"]).select("d", "h", "lo", "hi", whole.alias("whole"), some.alias("some"))
+    marked = again.drop("differ").join(written(verdict, "verdicts"), ["anchor", "run"]).select("d", "h", "lo", "hi", whole.alias("whole"), some.alias("some"))
     marked = marked.where("whole OR length(some) > 0")
     return marked.groupBy("d", "h").agg(F.collect_list(F.struct("lo", "hi", "whole", "some")).alias("spans"))
 
