@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, mapped, new_path, only, short_batches
+from .common import arrow_fields, mapped, new_path, only, short_batches, written
 
 MIN_REVISIT = 100
 #: Compression level of records: pages are repetitive, higher levels cost several times the CPU.
@@ -142,6 +142,7 @@ def with_types(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     digested = only(pages, "page_id", "url", "html").withColumn("html", html).withColumn("digest", F.sha2(F.encode(html, "UTF-8"), 256))
     least = digested.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
+    least = written(least, "payloads")  # a table of its own: Spark can then split the partition of a common payload
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return digested.join(least, "digest", "left").select("page_id", "url", "html", "digest", refers_to.alias("refers_to"))
 
