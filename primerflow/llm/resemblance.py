@@ -87,7 +87,7 @@ def met(texts: DataFrame) -> DataFrame:
     """node, key, n: the bands that a text shares with others, and how many share them. ``texts``: node, bands."""
     keyed = texts.select("node", F.explode("bands").alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return written(keyed.join(counts, "key"), "bands")
+    return written(keyed.join(written(counts, "common-bands"), "key"), "bands")
 
 
 def sets(texts: DataFrame, met: DataFrame, hashes: Callable[[str], np.ndarray]) -> DataFrame:
