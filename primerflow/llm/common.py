@@ -41,15 +41,24 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 BATCH_ROWS = 2048
 
 
+#: Folders made where the setting is missing, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session, with its scheme.
 
     Where the setting is missing (tests, one machine) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="primerflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _OWN.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="primerflow-")
+        _OWN[context.applicationId] = base
+    if "://" not in base:  # a bare path is on the default file system
+        path = context._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        base = "file://" + base.removeprefix("file:") if base.startswith("file:/") and not base.startswith("file://") else base
     return base.rstrip("/")
 
 
