@@ -63,8 +63,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the application's part of the shared folder, which can go when the application has ended."""
+    return f"{shared_dir(spark)}/primerflow-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
