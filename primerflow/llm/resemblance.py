@@ -90,19 +90,20 @@ def met(texts: DataFrame) -> DataFrame:
     return written(keyed.join(written(counts, "common-bands"), "key"), "bands")
 
 
-def sets(texts: DataFrame, met: DataFrame, hashes: Callable[[str], np.ndarray]) -> DataFrame:
-    """node, shingles: the sets of texts that share a band, packed; rows of ``texts`` (node, text) may repeat."""
+def sets(texts: DataFrame, wanted: DataFrame, hashes: Callable[[str], np.ndarray]) -> DataFrame:
+    """node, shingles: the packed sets of the wanted texts. ``texts``: d, h, text; ``wanted``: node and the d and h of one
+    row that has its text, so that copies are not dealt out by what they share."""
 
     def small(batch: pa.RecordBatch) -> dict:
         pack = zstandard.ZstdCompressor(level=1)
-        return {"node": batch.column(0), "z": [pack.compress(t.encode()) for t in texts_of(batch.column(1))]}
+        return {"d": batch.column(0), "h": batch.column(1), "z": [pack.compress(t.encode()) for t in texts_of(batch.column(2))]}
 
     def shingles(batch: pa.RecordBatch) -> dict:
         unpack = zstandard.ZstdDecompressor()
         return {"node": batch.column(0), "shingles": [np.unique(hashes(unpack.decompress(z).decode())).astype("<u8").tobytes() for z in batch.column(1).to_pylist()]}
 
-    wanted = by_batch(texts, small, "node long, z binary").join(met.select("node").distinct(), "node", "left_semi")
-    return written(by_batch(wanted.groupBy("node").agg(F.first("z").alias("z")), shingles, "node long, shingles binary"), "sets")
+    found = by_batch(texts.select("d", "h", "text"), small, "d long, h long, z binary").join(wanted, ["d", "h"])
+    return written(by_batch(found.groupBy("node").agg(F.first("z").alias("z")), shingles, "node long, shingles binary"), "sets")
 
 
 def links(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

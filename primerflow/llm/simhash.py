@@ -230,7 +230,9 @@ def deduplicate(docs: DataFrame, words: int = 5, bits: int = 3, similarity: floa
     by_print = near.join(name("u"), "u").join(name("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
     same_print = made.join(printed, "fingerprint").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     met = resemblance.met(made)
-    sets = resemblance.sets(keyed.select("node", "text"), met, lambda text: shingle_hashes(text, words))
+    one = slim.groupBy("node").agg(F.min(F.struct("d", "h")).alias("one")).select("node", "one.*")
+    wanted = written(one.join(met.select("node").distinct(), "node", "left_semi"), "wanted")
+    sets = resemblance.sets(keyed, wanted, lambda text: shingle_hashes(text, words))
     stars = components(by_print.unionByName(same_print).unionByName(resemblance.links(met, sets, similarity)))
     root = F.coalesce("v", "node").alias("root")
     rooted = slim.select("d", "h", "null", "node").join(stars, slim["node"] == stars["u"], "left").select("d", "h", "null", root)
