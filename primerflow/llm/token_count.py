@@ -12,12 +12,12 @@ are one pre-token each, as the library reads them. Keys may be null or repeat: o
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +60,7 @@ class Pieces:
 
 
 def blocks(docs: DataFrame, path: str) -> DataFrame:
-    """Per block of documents: its distinct pre-tokens in order, and the packed ids, sizes and frequencies."""
+    """Per block of documents: its distinct pre-tokens, frequent ones first, and the packed ids, sizes and frequencies."""
     short_batches(docs.sparkSession)
     names, types = arrow_fields(docs.sparkSession, _BLOCKS)
 
@@ -70,9 +70,13 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
         number, rows, pieces, chars = TaskContext.get().partitionId() << 32, [], Pieces(path), 0
 
         def block():
-            listed = sorted(pieces.number)
-            rank = np.empty(len(listed), np.int64)
-            rank[[pieces.number[p] for p in listed]] = np.arange(len(listed))
+            # frequent pre-tokens first, so that steps between places are small; those of one frequency in order
+            listed = np.array(sorted(pieces.number), object)
+            at = np.fromiter(map(pieces.number.__getitem__, listed), np.int64, len(listed))
+            often = np.bincount(np.concatenate([r[2] for r in rows]), minlength=len(listed))
+            order = np.argsort(-often[at], kind="stable")
+            listed, rank = listed[order].tolist(), np.empty(len(listed), np.int64)
+            rank[at[order]] = np.arange(len(listed))
             packed = pack(rows, rank)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((number, packed, listed), types)], names)
 
@@ -91,7 +95,7 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
 
 def pack(rows: list[tuple], rank: np.ndarray) -> bytes:
     """(id, bytes, places, times) of each document as compressed columns. Places are sorted and kept as steps of
-    16 bits, times as 8 bits; larger ones are listed apart."""
+    16 bits, their low bytes apart from the high ones, times as 8 bits; larger ones are listed apart."""
     ids, size, places, times = zip(*rows)
     order = [np.argsort(rank[p]) for p in places]
     step = np.concatenate([np.diff(rank[p][o], prepend=0) for p, o in zip(places, order)])
@@ -101,17 +105,20 @@ def pack(rows: list[tuple], rank: np.ndarray) -> bytes:
     for values, kind, most in ((step, "<u2", 2**16 - 1), (time, "<u1", 2**8 - 1)):
         far = np.flatnonzero(values >= most)
         columns += [np.minimum(values, most).astype(kind), far.astype("<i8"), values[far].astype("<i8")]
-    raw = [c.tobytes() for c in columns]
-    return np.array([len(r) for r in raw], "<i8").tobytes() + zlib.compress(b"".join(raw), 1)
+    step = columns[4]
+    columns[4:5] = [(step & 255).astype("<u1"), (step >> 8).astype("<u1")]
+    pack = zstandard.ZstdCompressor(level=3)
+    raw = [pack.compress(c.tobytes()) for c in columns]
+    return np.array([len(r) for r in raw], "<i8").tobytes() + b"".join(raw)
 
 
 def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, which are null, bytes, pre-tokens of each document; place and times of each pre-token."""
-    kinds = ["<i8", "<u1", "<i8", "<u4", "<u2", "<i8", "<i8", "<u1", "<i8", "<i8"]
-    cut = np.concatenate([[0], np.cumsum(np.frombuffer(packed[: 8 * len(kinds)], "<i8"))])
-    data = zlib.decompress(packed[8 * len(kinds) :])
-    ids, null, size, each, step, far, far_step, time, often, often_time = (np.frombuffer(data[a:b], k) for a, b, k in zip(cut[:-1], cut[1:], kinds))
-    step, time = step.astype(np.int64), time.astype(np.int64)
+    kinds = ["<i8", "<u1", "<i8", "<u4", "<u1", "<u1", "<i8", "<i8", "<u1", "<i8", "<i8"]
+    cut = np.concatenate([[0], np.cumsum(np.frombuffer(packed[: 8 * len(kinds)], "<i8"))]) + 8 * len(kinds)
+    unpack = zstandard.ZstdDecompressor()
+    ids, null, size, each, low, high, far, far_step, time, often, often_time = (np.frombuffer(unpack.decompress(packed[a:b]), k) for a, b, k in zip(cut[:-1], cut[1:], kinds))
+    step, time = low.astype(np.int64) | high.astype(np.int64) << 8, time.astype(np.int64)
     step[far], time[often] = far_step, often_time
     place = np.cumsum(step)
     ends = np.cumsum(each.astype(np.int64))
