@@ -16,7 +16,6 @@ shard. A task holds one batch of texts and 24 bytes per document of its shard.
 from __future__ import annotations
 
 import json
-import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -197,7 +196,3 @@ def read(store: Store) -> DataFrame:
 def digests(store: Store) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
     return read(store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())

@@ -6,8 +6,6 @@ import base64
 import os
 from functools import lru_cache
 
-import numpy as np
-
 
 def public(name: str) -> str:
     """Path of a file of the installed public tokenizers."""
@@ -40,11 +38,6 @@ def ids_of(path: str, texts: list[str]) -> list[list[int]]:
     return [x.ids for x in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def packed_ids(path: str):
-    """texts -> ids as little-endian unsigned 32-bit integers."""
-    return lambda texts: [np.array(x, "<u4").tobytes() for x in ids_of(path, texts)]
-
-
 @lru_cache(maxsize=4)
 def ranks_of(path: str) -> dict[bytes, int]:
     """token bytes -> rank of a .tiktoken file."""
