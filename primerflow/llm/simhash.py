@@ -129,22 +129,26 @@ def _verified(key: np.ndarray, side: np.ndarray, prints: np.ndarray, bits: int)
     both = np.flatnonzero((left > 0) & (right > 0) & ((size > 2) | two))
     us, vs = [], []
 
-    def check(u: np.ndarray, v: np.ndarray) -> None:
-        ok = (np.bitwise_count((u ^ v).view(np.uint64)) <= bits) & (u != v)  # unsigned: of signed numbers the absolute value is counted
+    def take(u: np.ndarray, v: np.ndarray) -> None:
+        ok = u != v
         us.append(u[ok])
         vs.append(v[ok])
         if sum(x.size for x in us) > _PAIRS:
             u, v = forest(np.concatenate(us), np.concatenate(vs))
             us[:], vs[:] = [u], [v]
 
+    def near(differ: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(differ.view(np.uint64)) <= bits  # unsigned: of signed numbers the absolute value is counted
+
     large = left[both] * right[both] > 4096
     for g in both[large]:
         a, b = prints[first[g] : first[g] + left[g]], prints[first[g] + left[g] : first[g] + size[g]]
         step = max(1, _PAIRS // min(b.size, _PAIRS))
         for k in range(0, a.size, step):
             for m in range(0, b.size, _PAIRS):
-                part = b[m : m + _PAIRS]
-                check(np.repeat(a[k : k + step], part.size), np.tile(part, a[k : k + step].size))
+                some, part = a[k : k + step], b[m : m + _PAIRS]
+                i, j = np.nonzero(near(some[:, None] ^ part[None, :]))
+                take(some[i], part[j])
     small = both[~large]
     pairs = left[small] * right[small]
     cuts = np.searchsorted(np.cumsum(pairs), np.arange(_PAIRS, int(pairs.sum()) + _PAIRS, _PAIRS), side="right")
@@ -156,7 +160,9 @@ def _verified(key: np.ndarray, side: np.ndarray, prints: np.ndarray, bits: int)
             n = left[g] * right[g]
             owner = np.repeat(g, n)
             k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            check(prints[first[owner] + k // right[owner]], prints[first[owner] + left[owner] + k % right[owner]])
+            u, v = prints[first[owner] + k // right[owner]], prints[first[owner] + left[owner] + k % right[owner]]
+            ok = near(u ^ v)
+            take(u[ok], v[ok])
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
