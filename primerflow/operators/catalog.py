@@ -60,3 +60,19 @@ def compared(a: Column, b: Column) -> Column:
     """-1, 0 or 1 for versions."""
     x, y = T.version_parts(a), T.version_parts(b)
     return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+
+def repo_rows(raw: DataFrame) -> DataFrame:
+    """One service's replies as flat rows (P41): an owner without a display name shows the login, no permission is no push."""
+    owner, parent = F.col("owner"), F.col("parent")
+    return raw.select(
+        "name", "full_name", owner["login"].alias("owner"), F.coalesce(T.or_null(owner["full_name"]), owner["login"]).alias("owner_display"), F.col("fork").alias("is_fork"),
+        parent["full_name"].alias("parent_full_name"), F.col("private").alias("is_private"), F.coalesce(F.col("permissions")["push"], F.lit(False)).alias("can_push"), "updated_at",
+    )
+
+
+def prompt_documents(parts: DataFrame, rule: str = "\n\n") -> DataFrame:
+    """doc, text: the parts of prompts (doc, place, title, text) in order under their titles; missing ones are skipped."""
+    body = F.when(T.or_null(T.trim(F.col("text"))).isNotNull(), F.concat_ws("\n\n", F.concat(F.lit("## "), F.col("title")), F.col("text")))
+    rows = F.sort_array(F.collect_list(F.struct("place", body.alias("body"))))["body"]
+    return parts.groupBy("doc").agg(F.array_join(F.array_compact(rows), rule).alias("text"))

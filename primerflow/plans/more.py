@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import catalog as C
 from ..operators import figures as G
 from ..operators import module as M
 from ..operators import timeline as L
@@ -153,7 +154,26 @@ def grammar_texts(spark, d):
     return M.grammar(M.parse(docs)).select("doc", "content")
 
 
+def repo_rows(spark, d):
+    """Customers as a service's replies, flattened."""
+    k, name = F.col("c_custkey"), F.concat(F.lit("r"), s("c_custkey"))
+    raw = R.table(spark, d, "customer").select(
+        name.alias("name"), F.concat(F.lit("o/"), name).alias("full_name"), F.struct(F.lit("o").alias("login"), F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, "").alias("full_name")).alias("owner"), (k % 2 == 0).alias("fork"),
+        F.when(k % 2 == 0, F.struct(F.lit("p/x").alias("full_name"))).alias("parent"), (k % 5 == 0).alias("private"), F.when(k % 4 > 0, F.struct((k % 4 == 1).alias("push"))).alias("permissions"), F.lit("2024").alias("updated_at"),
+    )
+    return C.repo_rows(raw).select("name", "owner_display", "is_fork", "parent_full_name", "is_private", "can_push")
+
+
+def prompt_documents(spark, d):
+    """Prompts of regions from their nations; every third is missing."""
+    n = R.table(spark, d, "nation")
+    parts = n.select(s("n_regionkey").alias("doc"), F.col("n_nationkey").alias("place"), F.lit("Part").alias("title"), F.when(F.col("n_nationkey") % 3 == 1, None).when(F.col("n_nationkey") % 3 == 2, " ").otherwise(F.col("n_name")).alias("text"))
+    return C.prompt_documents(parts)
+
+
 SQL = {
+    "repo_rows": "SELECT 'r' || c_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'o' END AS owner_display, c_custkey % 2 = 0 AS is_fork, CASE WHEN c_custkey % 2 = 0 THEN 'p/x' END AS parent_full_name, c_custkey % 5 = 0 AS is_private, c_custkey % 4 = 1 AS can_push FROM customer",
+    "prompt_documents": "SELECT CAST(n_regionkey AS VARCHAR) AS doc, coalesce(string_agg(CASE WHEN n_nationkey % 3 = 0 THEN '## Part' || chr(10) || chr(10) || n_name END, chr(10) || chr(10) ORDER BY n_nationkey), '') AS text FROM nation GROUP BY n_regionkey",
     "linked_images": """
 WITH i AS (SELECT l_orderkey, l_linenumber, arg_max(CAST(l_partkey AS VARCHAR), l_partkey * 1000 + l_suppkey) AS image FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY ALL)
 SELECT l.l_orderkey AS fig, l.l_linenumber AS item_number, i.image, count(*) AS n FROM lineitem l JOIN orders ON o_orderkey = l.l_orderkey AND o_orderstatus <> 'P' LEFT JOIN i ON i.l_orderkey = l.l_orderkey AND i.l_linenumber = l.l_linenumber GROUP BY ALL""",
@@ -186,5 +206,5 @@ SELECT o_orderkey AS lesson, '{"fps":30,"width":1920,"height":1080,"lesson":' ||
     "course_files": "SELECT CAST(n_nationkey AS VARCHAR) AS doc, 'TITLE' AS key, n_name || ': x' AS value FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'TARGET_LANG_G', 'fr' FROM nation",
     "grammar_texts": "SELECT CAST(n_nationkey AS VARCHAR) AS doc, n_name || chr(10) || chr(10) || 'NOTE:y' AS content FROM nation",
 }
-_FUNCTIONS = (linked_images, image_boxes, raw_blocks, diagnostic_lines, diagnostic_counts, token_times, display_modes, lesson_codes, keyword_scores, mean_latency, module_warnings, clip_faults, subtitle_faults, manifests, split_files, sliced_drafts, lesson_books, course_files, grammar_texts)
+_FUNCTIONS = (linked_images, image_boxes, raw_blocks, diagnostic_lines, diagnostic_counts, token_times, display_modes, lesson_codes, keyword_scores, mean_latency, module_warnings, clip_faults, subtitle_faults, manifests, split_files, sliced_drafts, lesson_books, course_files, grammar_texts, repo_rows, prompt_documents)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
