@@ -7,8 +7,8 @@
    with an empty text.
 5. Documents are tokenized and packed into sequences of 2048 tokens: a row per piece.
 
-Each function takes (spark, docs, sf_dir) and returns a DataFrame. Models are fitted on the labelled ones among the
-documents that the stage is given.
+Each function takes (spark, docs, sf_dir) and returns a DataFrame. Models are fitted on labelled documents of the whole
+table, also where a stage is given fewer: the documents that stage 1 drops are the examples of poor ones.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from primerflow.llm import cotraining, packing, quality_rules, simhash, suffix_dedup
 from primerflow.llm.common import table, written
+from primerflow.llm.text_model import Linear
 from primerflow.llm.vocab import public
 
 
@@ -24,8 +25,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return cotraining.keep(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
 
 
+def rules_model(spark: SparkSession, sf_dir: str) -> Linear | None:
+    """The classifier of the quality rules, fitted on labels that have a document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.train(docs, table(spark, sf_dir, "labels").join(docs.select("doc_id"), "doc_id", "left_semi"))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+    return quality_rules.keep(docs, rules_model(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

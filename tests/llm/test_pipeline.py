@@ -38,6 +38,22 @@ def test_stages(spark, tmp_path):
     assert rows == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in d.collect())
 
 
+def test_rules_reject_what_the_classifier_let_through(spark, tmp_path):
+    """Labels of dropped documents, and labels without a document, don't turn the rules' classifier off."""
+    rng = random.Random(13)
+    poor = lambda: " ".join(f"{w.upper()}!!" for w in words(rng, 120).split())
+    rows = [(i, words(rng, 120) if i % 5 else poor(), "en", "s", 1) for i in range(160)]
+    labels = [(i, int(i % 5 != 0), 0) for i in range(160)] + [(1000 + i, 0, 0) for i in range(3000)]
+    rows.append((700, poor(), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.rules_model(spark, str(tmp_path)) is not None
+    let_through = docs.where("doc_id = 700 OR doc_id % 5 <> 0")
+    kept = {r.doc_id for r in corpus_pipeline.rules(spark, let_through, str(tmp_path)).collect()}
+    assert 700 not in kept and len(kept) >= 124
+
+
 def test_ten_queries():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
     assert names == list(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
