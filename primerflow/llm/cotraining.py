@@ -2,11 +2,11 @@
 
 The text view is a logistic regression on hashed word and character n-grams (``text_model``), the page view one on
 page metadata: language, source, length class and their pairs. Both start from up to ``LABELLED`` labelled documents
-(half of either class) and see a pool of up to ``POOL`` unlabelled ones, all those with the smallest hashes of their
-ids. In each of ``ROUNDS`` rounds both are fitted and calibrated on a fifth of the labelled rows that fits neither;
-each then labels the pool documents of which it is most certain (probability over ``CERTAIN`` for or against, at
-most ``GIVEN`` per class and round) for the other. Last, the two calibrated log-odds are combined by a
-logistic regression on the rows held out, and every document is scored in Arrow batches.
+(half of either class, those with the smallest hashes of their ids). In each of ``ROUNDS`` rounds both are fitted and
+calibrated on a fifth of the labelled rows that fits neither, and score every unlabelled document in Arrow batches;
+each then labels those of the whole table of which it is most certain (probability over ``CERTAIN`` for or against, at
+most ``GIVEN`` per class and round, ties by hash) for the other. Only these come to the driver. Last, the two calibrated
+log-odds are combined by a logistic regression on the rows held out, and every document is scored.
 
 Null texts count as empty; null metadata are a value of their own, missing columns are null. Without labels of both
 classes every document is kept with a null probability. One row out per row in.
@@ -15,19 +15,21 @@ classes every document is kept with a null probability. One row out per row in.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, texts_of
-from .labelled import Sample, column_or_null, first_by_hash, gather, held_out, labelled
+from .common import by_batch, texts_of, written
+from .labelled import Sample, column_or_null, gather, held_out, labelled
 from .quality_rules import kept_rows
 from .text_model import BITS, Linear, Words, calibrate, fit, in_parts
 
-LABELLED, POOL, ROUNDS, CERTAIN, GIVEN = 1600, 1200, 3, 0.98, 100
+LABELLED, ROUNDS, CERTAIN, GIVEN = 1600, 3, 0.98, 200
 THRESHOLD = 0.5
 PAGE_BITS = 12
 META = ("lang", "source", "n_chars")
@@ -60,11 +62,38 @@ class View:
         self.row, self.place, self.value, self.size = row, place, value, size
 
     def fit(self, y: np.ndarray, weight: np.ndarray, test: np.ndarray, truth: np.ndarray, test_weight: np.ndarray) -> tuple[Linear, np.ndarray]:
-        """The model, and the scores of all rows."""
+        """The model, and the scores of all rows; ``test`` speaks of the first ones."""
         use = weight[self.row] > 0
         w = fit(self.row[use], self.place[use], self.value[use], y, weight, self.size)
         scores = np.bincount(self.row, w[self.place] * self.value, minlength=y.size)
-        return Linear(w, *calibrate(scores[test], truth[test], test_weight[test])), scores
+        return Linear(w, *calibrate(scores[: test.size][test], truth[test], test_weight[test])), scores
+
+    def add(self, first: int, row: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
+        """Further rows, numbered from ``first``."""
+        self.row = np.concatenate([self.row, (row + first).astype(self.row.dtype)])
+        self.place = np.concatenate([self.place, place.astype(self.place.dtype)])
+        self.value = np.concatenate([self.value, value.astype(self.value.dtype)])
+
+
+@dataclass
+class Found:
+    """Documents that one view labels for the other, with the other's features."""
+
+    ids: list[int]
+    label: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+
+Search = Callable[[tuple[Linear, Linear], list[list[int]]], dict[int, Found]]
+
+
+def page_features(meta: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, value) of pages."""
+    places = np.array([page_places(*m) for m in meta])
+    each = places.shape[1]
+    return np.repeat(np.arange(len(meta)), each), places.ravel(), np.full(places.size, 1 / each)
 
 
 def _mix(odds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
@@ -79,41 +108,79 @@ def _mix(odds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, fl
     return tuple(float(v) for v in b)
 
 
-def teach(sample: Sample, known: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """Co-trains on the rows of ``sample``; ``known`` says which have a label ``y``."""
+def teach(sample: Sample, known: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, search: Search | None = None) -> Model | None:
+    """Co-trains on the rows of ``sample``; ``known`` says which have a label ``y``. ``search`` finds further documents
+    by the two models and the ids that either view (text, page) has got."""
     test = known & held_out(sample.ids)
     learn = known & ~test
     if not all(0 < y[part].sum() < part.sum() for part in (test, learn)):
         test = learn = known
     if not 0 < y[known].sum() < known.sum():
         return None
-    places = [page_places(*m) for m in zip(*(sample.extra[c] for c in META))]
-    each = len(places[0])
-    page_row = np.repeat(np.arange(y.size), each)
-    views = [View(sample.row, sample.place, sample.value, 2**BITS), View(page_row, np.array(places).ravel(), np.full(page_row.size, 1 / each), 2**PAGE_BITS)]
+    page = page_features(list(zip(*(sample.extra[c] for c in META))))
+    views = [View(sample.row, sample.place, sample.value, 2**BITS), View(*page, 2**PAGE_BITS)]
     labels = [np.where(learn, y, 0.0) for _ in views]
     weights = [np.where(learn, weight, 0.0) for _ in views]
-    for _ in range(rounds + 1):
+    taken: list[list[int]] = [[], []]
+    for turn in range(rounds + 1):
         models, scores = zip(*(v.fit(l, w, test, y, weight) for v, l, w in zip(views, labels, weights)))
+        if turn == rounds:
+            break
         for teacher, pupil in ((0, 1), (1, 0)):
-            p = models[teacher].probability(scores[teacher])
+            p = models[teacher].probability(scores[teacher][: y.size])
             for good in (0, 1):
                 sure = p if good else 1 - p
-                free = np.flatnonzero(~known & (weights[pupil] == 0) & (sure >= CERTAIN))
+                free = np.flatnonzero(~known & (weights[pupil][: y.size] == 0) & (sure >= CERTAIN))
                 give = free[np.argsort(-sure[free], kind="stable")[:GIVEN]]
                 labels[pupil][give], weights[pupil][give] = good, 1.0
-    odds = np.stack([m.odds(s) for m, s in zip(models, scores)], 1)
+        found = search(models, taken) if search else {}
+        for pupil, new in found.items():
+            views[pupil].add(labels[pupil].size, new.row, new.place, new.value)
+            labels[pupil] = np.concatenate([labels[pupil], new.label])
+            weights[pupil] = np.concatenate([weights[pupil], np.ones(new.label.size)])
+            taken[pupil] += new.ids
+        if search and not found:
+            break  # a further round would be the same
+    odds = np.stack([m.odds(s[: y.size]) for m, s in zip(models, scores)], 1)
     return Model(*models, _mix(odds[test], y[test], weight[test]))
 
 
-def train(docs: DataFrame, labels: DataFrame, size: int = LABELLED, pool: int = POOL) -> Model | None:
-    marked = labelled(labels, size).select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("weight").cast("double").alias("weight"))
-    free = first_by_hash(docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti"), pool)
-    chosen = marked.unionByName(free.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(0.0).alias("weight")))
-    sample = gather(docs, chosen, *META)
-    known = np.array([q is not None for q in sample.extra["quality"]], bool)
-    y = np.array([q or 0 for q in sample.extra["quality"]], float)
-    return teach(sample, known, y, np.array(sample.extra["weight"], float)) if known.any() else None
+def searched(docs: DataFrame, labels: DataFrame) -> Search:
+    """Finds documents among all without a label; they are written once."""
+    pool: list[DataFrame] = []
+
+    def search(models: tuple[Linear, Linear], taken: list[list[int]]) -> dict[int, Found]:
+        if not pool:
+            own = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *[column_or_null(docs, c).alias(c) for c in META])
+            pool.append(written(own.join(labels.select("doc_id"), "doc_id", "left_anti"), "pool"))
+        scored = written(score(pool[0], Model(*models, (1.0, 1.0, 0.0)), THRESHOLD, *META).select("doc_id", "p_text", "p_page", *META), "scored")
+        parts = []
+        for pupil, p in ((1, "p_text"), (0, "p_page")):
+            free = scored.where(~F.col("doc_id").isin(taken[pupil]))
+            for good in (0, 1):
+                sure = F.col(p) if good else 1 - F.col(p)
+                best = free.where(sure >= CERTAIN).orderBy(sure.desc(), F.xxhash64("doc_id"), "doc_id").limit(GIVEN)
+                parts.append(best.select("doc_id", *META, F.lit(pupil).alias("pupil"), F.lit(good).alias("quality")))
+        rows: list[dict] = [{}, {}]
+        for r in reduce(DataFrame.unionByName, parts).collect():
+            rows[r["pupil"]].setdefault(r["doc_id"], r)
+        out = {}
+        if rows[0]:
+            chosen = docs.sparkSession.createDataFrame([(i, r["quality"]) for i, r in rows[0].items()], "doc_id long, quality int")
+            s = gather(pool[0], chosen)
+            out[0] = Found(s.ids.tolist(), np.array(s.extra["quality"], float), s.row, s.place, s.value)
+        if rows[1]:
+            given = list(rows[1].values())
+            out[1] = Found(list(rows[1]), np.array([r["quality"] for r in given], float), *page_features([tuple(r[c] for c in META) for r in given]))
+        return out
+
+    return search
+
+
+def train(docs: DataFrame, labels: DataFrame, size: int = LABELLED) -> Model | None:
+    sample = gather(docs, labelled(labels, size), *META)
+    y = np.array(sample.extra["quality"], float)
+    return teach(sample, np.ones(y.size, bool), y, np.array(sample.extra["weight"], float), search=searched(docs, labels)) if y.size else None
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, *carried: str) -> DataFrame:

@@ -139,3 +139,17 @@ def test_views_teach_each_other(monkeypatch):
         cotraining.View.fit = fit
     pages = [n for size, n in seen if size == 2**cotraining.PAGE_BITS]
     assert model and len(pages) == cotraining.ROUNDS + 1 and pages[-1] > pages[0]
+
+
+def test_every_unlabelled_document_is_searched(spark, monkeypatch):
+    """A source without labels, behind 1,300 others by the hash of the id, teaches the page view."""
+    monkeypatch.setattr(cotraining, "CERTAIN", 0.85)
+    rng = random.Random(21)
+    by_hash = [r.id for r in spark.sql("SELECT id FROM range(1000, 2360) ORDER BY xxhash64(id), id").collect()]
+    poor = lambda: " ".join(f"{w.upper()}!!" for w in words(rng, 40).split())
+    rows = [(i, words(rng, 40) if i % 4 else poor(), "en", "s" if i % 8 else "bad", 200) for i in range(200)]
+    rows += [(i, words(rng, 40), "en", "s", 200) for i in by_hash[:1300]] + [(i, poor(), "en", "rare", 200) for i in by_hash[1300:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    p = {r.doc_id: r.p_page for r in cotraining.score(docs, cotraining.train(docs, labels)).collect()}
+    assert max(p[i] for i in by_hash[1300:]) < 0.5 < min(p[i] for i in by_hash[:1300])
