@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -141,16 +142,42 @@ def lcs_table(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def lcs_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, from the start; where both ways are as good, ``a`` advances."""
-    table, i, j, out = lcs_table(a, b), 0, 0, []
+    """Index pairs of a longest common subsequence, from the start; where both ways are as good, ``a`` advances.
+
+    Of the table of ``lcs_table`` about the square root of its rows is held: every ``step``-th row is kept, and the rows
+    between two of them are made again when the way comes to them."""
+    names = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = [names[w] for w in a], np.array([names[w] for w in reversed(b)], np.int64)
+    step = max(1, isqrt(len(a)))
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        """Row ``i`` of the table from its end, by the row below."""
+        row = np.zeros_like(below)
+        np.maximum.accumulate(np.maximum(np.where(y == x[i], below[:-1] + 1, below[1:]), below[1:]), out=row[1:])
+        return row
+
+    row = np.zeros(len(b) + 1, np.int32)
+    kept = {len(a): row}
+    for i in range(len(a) - 1, -1, -1):
+        row = above(i, row)
+        if i % step == 0:
+            kept[i] = row
+    i, j, out = 0, 0, []
     while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+        first = i
+        last = min(first + step, len(a))
+        rows = [kept.pop(last) if last < len(a) else kept[last]]
+        for k in range(last - 1, first - 1, -1):
+            rows.append(above(k, rows[-1]))
+        rows.reverse()
+        while i < last and j < len(b):
+            if a[i] == b[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif rows[i + 1 - first][len(b) - j] >= rows[i - first][len(b) - j - 1]:
+                i += 1
+            else:
+                j += 1
     return out
 
 

@@ -104,7 +104,7 @@ def cue_words(spark, d):
 def aligned(spark, d):
     """Each document's words against themselves without every fifth."""
     words = F.filter(F.transform(F.split(T.squeeze(F.col("text")), " "), T.token_key), lambda w: w != "")
-    docs = R.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.slice(words, 1, 60).alias("a"))
+    docs = R.table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("a"))
     return S.chosen_span(S.align(docs.withColumn("b", F.filter("a", lambda w, k: k % 5 != 4))))
 
 

@@ -8,6 +8,7 @@ from primerflow.functions import text as T
 from primerflow.operators import figures as G
 from primerflow.operators import speech as S
 from primerflow.operators import validate as V
+from primerflow.plans import speech
 from primerflow.sources import files, sinks
 from primerflow.sources.module_source import read_modules
 from primerflow.streaming import lint_stream
@@ -34,6 +35,27 @@ def test_alignment_properties(a, b):
     assert len(S.lcs_pairs(a[:-1], b)) <= len(pairs)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
+def test_alignment_takes_the_way_of_the_whole_table(a, b):
+    table, i, j, want = S.lcs_table(a, b), 0, 0, []
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            want.append((i, j))
+            i, j = i + 1, j + 1
+        elif table[i + 1, j] >= table[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    assert S.lcs_pairs(a, b) == want
+
+
+def test_whole_texts_are_aligned(spark, tmp_path):
+    texts = [(n, " ".join(f"w{k * k % 97}" for k in range(n))) for n in (1, 60, 61, 900)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.id: r.n_pairs for r in speech.aligned(spark, str(tmp_path)).collect()} == {n: n - n // 5 for n, _ in texts}
+
+
 def test_align_rows(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], ["x", "a", "b"]), (2, [], ["a"]), (3, None, None)], "id long, a array<string>, b array<string>")
     out = {r.id: r for r in S.chosen_span(S.align(rows)).collect()}
