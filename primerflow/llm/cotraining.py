@@ -2,11 +2,12 @@
 
 The text view is a logistic regression on hashed word and character n-grams (``text_model``), the page view one on
 page metadata: language, source, length class and their pairs. Both start from up to ``LABELLED`` labelled documents
-(half of either class, those with the smallest hashes of their ids). In each of ``ROUNDS`` rounds both are fitted and
-calibrated on a fifth of the labelled rows that fits neither, and score every unlabelled document in Arrow batches;
-each then labels those of the whole table of which it is most certain (probability over ``CERTAIN`` for or against, at
-most ``GIVEN`` per class and round, ties by hash) for the other. Only these come to the driver. Last, the two calibrated
-log-odds are combined by a logistic regression on the rows held out, and every document is scored.
+(half of either class, those with the smallest hashes of their ids, with at most ``FEATURES`` features). In each of
+``ROUNDS`` rounds both are fitted and calibrated on labelled rows that fit neither, and score every unlabelled document
+in Arrow batches; each then labels those of the whole table of which it is most certain (probability over ``CERTAIN``
+for or against, at most ``GIVEN`` per class and round, ties by hash) for the other. Only these come to the driver. Last,
+the two calibrated log-odds are combined by a logistic regression on further rows held out (a tenth fits it, a tenth
+calibrates), and every document is scored.
 
 Null texts count as empty; null metadata are a value of their own, missing columns are null. Without labels of both
 classes every document is kept with a null probability. One row out per row in.
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, texts_of, written
+from .common import by_batch, only, texts_of, written
 from .labelled import Sample, column_or_null, gather, held_out, labelled
 from .quality_rules import kept_rows
-from .text_model import BITS, Linear, Words, calibrate, fit, in_parts
+from .text_model import BITS, Linear, Words, calibrate, fit, in_parts, sums
 
-LABELLED, ROUNDS, CERTAIN, GIVEN = 1600, 3, 0.98, 200
+LABELLED, ROUNDS, CERTAIN, GIVEN = 4000, 3, 0.98, 200
 THRESHOLD = 0.5
 PAGE_BITS = 12
 META = ("lang", "source", "n_chars")
@@ -65,7 +66,7 @@ class View:
         """The model, and the scores of all rows; ``test`` speaks of the first ones."""
         use = weight[self.row] > 0
         w = fit(self.row[use], self.place[use], self.value[use], y, weight, self.size)
-        scores = np.bincount(self.row, w[self.place] * self.value, minlength=y.size)
+        scores = sums(self.row, self.place, self.value, w, y.size)
         return Linear(w, *calibrate(scores[: test.size][test], truth[test], test_weight[test])), scores
 
     def add(self, first: int, row: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
@@ -117,13 +118,17 @@ def teach(sample: Sample, known: np.ndarray, y: np.ndarray, weight: np.ndarray,
         test = learn = known
     if not 0 < y[known].sum() < known.sum():
         return None
+    mixed = test & held_out(sample.ids, 1, 2)  # rows that neither fit nor calibrate a view
+    sure_of = test & ~mixed
+    if not all(0 < y[part].sum() < part.sum() for part in (mixed, sure_of)):
+        mixed = sure_of = test
     page = page_features(list(zip(*(sample.extra[c] for c in META))))
     views = [View(sample.row, sample.place, sample.value, 2**BITS), View(*page, 2**PAGE_BITS)]
     labels = [np.where(learn, y, 0.0) for _ in views]
     weights = [np.where(learn, weight, 0.0) for _ in views]
     taken: list[list[int]] = [[], []]
     for turn in range(rounds + 1):
-        models, scores = zip(*(v.fit(l, w, test, y, weight) for v, l, w in zip(views, labels, weights)))
+        models, scores = zip(*(v.fit(l, w, sure_of, y, weight) for v, l, w in zip(views, labels, weights)))
         if turn == rounds:
             break
         for teacher, pupil in ((0, 1), (1, 0)):
@@ -142,18 +147,16 @@ def teach(sample: Sample, known: np.ndarray, y: np.ndarray, weight: np.ndarray,
         if search and not found:
             break  # a further round would be the same
     odds = np.stack([m.odds(s[: y.size]) for m, s in zip(models, scores)], 1)
-    return Model(*models, _mix(odds[test], y[test], weight[test]))
+    return Model(*models, _mix(odds[mixed], y[mixed], weight[mixed]))
 
 
 def searched(docs: DataFrame, labels: DataFrame) -> Search:
-    """Finds documents among all without a label; they are written once."""
-    pool: list[DataFrame] = []
+    """Finds documents among all without a label. Only ids, probabilities and metadata are written or shuffled."""
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *[column_or_null(docs, c).alias(c) for c in META])
 
     def search(models: tuple[Linear, Linear], taken: list[list[int]]) -> dict[int, Found]:
-        if not pool:
-            own = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *[column_or_null(docs, c).alias(c) for c in META])
-            pool.append(written(own.join(labels.select("doc_id"), "doc_id", "left_anti"), "pool"))
-        scored = written(score(pool[0], Model(*models, (1.0, 1.0, 0.0)), THRESHOLD, *META).select("doc_id", "p_text", "p_page", *META), "scored")
+        scored = score(named, Model(*models, (1.0, 1.0, 0.0)), THRESHOLD, *META).select("doc_id", "p_text", "p_page", *META)
+        scored = written(scored.where(F.greatest("p_text", "p_page", 1 - F.col("p_text"), 1 - F.col("p_page")) >= CERTAIN).join(only(labels, "doc_id"), "doc_id", "left_anti"), "scored")
         parts = []
         for pupil, p in ((1, "p_text"), (0, "p_page")):
             free = scored.where(~F.col("doc_id").isin(taken[pupil]))
@@ -167,7 +170,7 @@ def searched(docs: DataFrame, labels: DataFrame) -> Search:
         out = {}
         if rows[0]:
             chosen = docs.sparkSession.createDataFrame([(i, r["quality"]) for i, r in rows[0].items()], "doc_id long, quality int")
-            s = gather(pool[0], chosen)
+            s = gather(named, chosen)
             out[0] = Found(s.ids.tolist(), np.array(s.extra["quality"], float), s.row, s.place, s.value)
         if rows[1]:
             given = list(rows[1].values())
@@ -178,7 +181,7 @@ def searched(docs: DataFrame, labels: DataFrame) -> Search:
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = LABELLED) -> Model | None:
-    sample = gather(docs, labelled(labels, size), *META)
+    sample = gather(docs, labelled(docs, labels, size), *META)
     y = np.array(sample.extra["quality"], float)
     return teach(sample, np.ones(y.size, bool), y, np.array(sample.extra["weight"], float), search=searched(docs, labels)) if y.size else None
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, only, texts_of
+from .common import by_batch, only, texts_of, written
 from .text_model import Words, in_parts
 
 
@@ -29,26 +29,33 @@ def first_by_hash(df: DataFrame, size: int, *keep: str) -> DataFrame:
     return df.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", *keep).limit(size)
 
 
-def labelled(labels: DataFrame, size: int) -> DataFrame:
-    """Up to ``size`` // 2 labelled ids of either quality, one row an id (its lowest label), and the weight that
-    makes the classes as frequent as among all labels. All labels are counted."""
+def labelled(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
+    """Up to ``size`` // 2 ids of either quality that are labelled and have a document, one row an id (its lowest
+    label), and the weight that makes the classes as frequent as among all of these. All of them are counted."""
     one = only(labels, "doc_id", "quality").where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    one = one.join(only(docs, "doc_id"), "doc_id", "left_semi")
     counts = {r["quality"]: r["count"] for r in one.groupBy("quality").count().collect()}
     parts = [first_by_hash(one.where(F.col("quality") == q), size // 2).withColumn("weight", F.lit(counts.get(q, 0) / max(1, min(size // 2, counts.get(q, 0))))) for q in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
+#: Features that a sample has at most; the rows with the smallest hashes of their ids come first.
+FEATURES = 16_000_000
+#: Parts in which the driver takes a sample in.
+_PARTS = 8
+
+
 def gather(docs: DataFrame, chosen: DataFrame, *columns: str) -> Sample:
-    """Features of the chosen ids' documents. ``chosen`` has a bounded number of rows, so it is broadcast."""
+    """Features of the chosen ids' documents, up to ``FEATURES`` of them. ``chosen`` has a bounded number of rows, so it is
+    broadcast. Of rows that share an id, one is taken."""
     own = docs.select("doc_id", "text", *[column_or_null(docs, c).alias(c) for c in columns])
     columns = (*columns, *[c for c in chosen.columns if c != "doc_id"])
     joined = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *columns)
     kinds = dict(joined.dtypes)
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = [t.encode() for t in texts_of(batch.column(1))]
         place, value = [], []
-        for _, part in in_parts(texts):
+        for _, part in in_parts([t.encode() for t in texts_of(batch.column(1))]):
             r, p, v = Words(part).features()
             cuts = np.searchsorted(r, np.arange(1, len(part)))
             place += [x.astype("<i4").tobytes() for x in np.split(p, cuts)]
@@ -56,23 +63,31 @@ def gather(docs: DataFrame, chosen: DataFrame, *columns: str) -> Sample:
         return {"doc_id": batch.column(0), "place": place, "value": value} | {c: batch.column(2 + k) for k, c in enumerate(columns)}
 
     schema = "doc_id long, place binary, value binary" + "".join(f", `{c}` {kinds[c]}" for c in columns)
-    rows = sorted(by_batch(joined, run, schema).collect(), key=lambda r: (r["doc_id"], r["place"], r["value"]))
-    seen, unique = set(), []
-    for r in rows:  # of rows that share an id, the first
-        if r["doc_id"] not in seen:
-            seen.add(r["doc_id"])
-            unique.append(r)
-    del rows
-    size = [len(r["place"]) // 4 for r in unique]
-    place, value = (np.frombuffer(b"".join(r[n] for r in unique), kind) for n, kind in (("place", "<i4"), ("value", "<f4")))
-    return Sample(np.array([r["doc_id"] for r in unique], np.int64), np.repeat(np.arange(len(unique), dtype=np.int32), size), place, value, {c: [r[c] for r in unique] for c in columns})
-
-
-def held_out(ids: np.ndarray) -> np.ndarray:
-    """True for a fifth of the ids, by their hash: they calibrate and don't fit."""
+    made = written(by_batch(joined, run, schema), "features")
+    size = {r["doc_id"]: r["n"] for r in made.groupBy("doc_id").agg(F.min(F.length("place")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()}
+    fits = np.array(list(size))[np.cumsum([0, *list(size.values())])[:-1] < 4 * FEATURES] if size else np.zeros(0, np.int64)
+    ids, row, place, value, extra = [], [], [], [], {c: [] for c in columns}
+    for part in np.array_split(np.sort(fits), _PARTS):
+        rows = made.where(F.col("doc_id").isin(part.tolist())).collect() if part.size else []
+        last = None
+        for r in sorted(rows, key=lambda r: (r["doc_id"], r["place"], r["value"])):
+            if r["doc_id"] != last:
+                last = r["doc_id"]
+                row.append(np.full(len(r["place"]) // 4, len(ids), np.int32))
+                place.append(np.frombuffer(r["place"], "<i4").copy())
+                value.append(np.frombuffer(r["value"], "<f4").copy())
+                ids.append(last)
+                for c in columns:
+                    extra[c].append(r[c])
+    flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    return Sample(np.array(ids, np.int64), flat(row, np.int32), flat(place, np.int32), flat(value, np.float32), extra)
+
+
+def held_out(ids: np.ndarray, salt: int = 0, share: int = 5) -> np.ndarray:
+    """True for one in ``share`` of the ids, by their hash: they calibrate and don't fit."""
     with np.errstate(over="ignore"):
-        h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(40)) % np.uint64(5) == 0
+        h = (ids.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(40)) % np.uint64(share) == 0
 
 
 def column_or_null(df: DataFrame, name: str) -> Column:

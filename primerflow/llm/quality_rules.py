@@ -1,12 +1,13 @@
 """Quality rules: measures of a text, and a calibrated n-gram classifier, against fixed thresholds.
 
 The classifier is a logistic regression on hashed word and character n-grams (``text_model``), fitted on up to
-``SAMPLE`` labelled documents (half of either class, those with the smallest hash of their id), weighted to the
-frequencies of all labels and calibrated on a fifth that it has not seen. Documents are scored in Arrow batches;
+``SAMPLE`` labelled documents (half of either class, those with the smallest hash of their id) and ``FEATURES``
+features of them, weighted to the class frequencies of all labelled documents and calibrated on a fifth that it has not seen. Documents are scored in Arrow batches;
 what is sent to the executors is one weight for each of ``2**BITS`` places.
 
 A null text counts as empty: no words, so the base rules reject it. Without labels of both classes the verdict
-is that of the base rules alone. One row out per row in, null and repeated ids included.
+is that of the base rules alone. One row out per row in, null and repeated ids included. A task holds the places of one
+text's words, or of as many short texts as have about 150,000 words, so memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -18,17 +19,17 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, texts_of
 from .labelled import Sample, gather, held_out, labelled
-from .text_model import BITS, Linear, Words, calibrate, fit, in_parts
+from .text_model import BITS, Linear, Words, calibrate, fit, in_parts, sums
 
 #: Labelled documents that the classifier is fitted on, at most.
-SAMPLE = 2400
+SAMPLE = 4000
 #: A document stays if its probability of good quality is at least this.
 THRESHOLD = 0.5
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\v\f\r"
 
-MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
+MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
 
 
 def fit_sample(sample: Sample, y: np.ndarray, weight: np.ndarray) -> Linear | None:
@@ -40,13 +41,13 @@ def fit_sample(sample: Sample, y: np.ndarray, weight: np.ndarray) -> Linear | No
         out[:] = False
     use = ~out[sample.row]
     weights = fit(sample.row[use], sample.place[use], sample.value[use], y, np.where(out, 0, weight), 2**BITS)
-    scores = np.bincount(sample.row, weights[sample.place] * sample.value, minlength=y.size)
+    scores = sums(sample.row, sample.place, sample.value, weights, y.size)
     test = out if out.any() else ~out
     return Linear(weights.astype(np.float32).astype(float), *calibrate(scores[test], y[test], weight[test]))
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Linear | None:
-    sample = gather(docs, labelled(labels, size))
+    sample = gather(docs, labelled(docs, labels, size))
     return fit_sample(sample, np.array(sample.extra["quality"], float), np.array(sample.extra["weight"], float))
 
 

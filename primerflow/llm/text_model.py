@@ -1,9 +1,9 @@
 """A linear model on hashed word and character n-grams: features by the batch, fitting, calibration.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the UTF-8 text. Features of a text are its words, pairs of neighbouring
-words (those of a word with itself share one place), and runs of 3 and 4 bytes inside words (word ends marked), each
-hashed to one of ``2**BITS`` places; the
-score is the mean weight over all of them, so length alone does not move it. All sums run over whole texts.
+words (those of a word with itself share one place), and runs of 3 and 4 characters inside words (word ends marked),
+each hashed to one of ``2**BITS`` places; the score is the mean weight over all of them, so length alone does not move
+it. All sums run over whole texts. An empty text has no features and score 0.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 BITS = 18
 _MASK = np.uint64(2**BITS - 1)
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Words of a batch that are counted at once.
 _WORDS = 150_000
 
@@ -26,46 +27,51 @@ def _place(h: np.ndarray) -> np.ndarray:
         return ((h ^ (h >> np.uint64(32))) & _MASK).astype(np.int64)
 
 
+def _counted(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of some lengths."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
 class Words:
-    """The words of some texts, numbered: ``ids`` of all texts in a row, ``ends`` of each text, distinct ``names``."""
+    """The words of some texts, numbered: ``ids`` of all texts in a row, ``ends`` of each text, ``hash`` by number. Equal
+    words are found by 64-bit hashes of their bytes and places; no object is made for a word."""
 
     def __init__(self, texts: list[bytes]):
-        number: dict[bytes, int] = {}
-        parts, size = [], []
-        for t in texts:
-            words = t.split()  # of bytes: at the six ASCII white-space characters
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-            parts.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-            size.append(len(words))
-        self.ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.size = np.array(size, np.int64)
+        flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        inside = ~_SPACE[flat]
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside])))
+        start, size = edge[::2], edge[1::2] - edge[::2]
+        first = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+        self.size = np.bincount(np.searchsorted(first, start, side="right") - 1, minlength=len(texts))[: len(texts)]
         self.ends = np.cumsum(self.size)
-        self.names = list(number)
+        with np.errstate(over="ignore"):
+            term = (_counted(size).astype(np.uint64) << np.uint64(8) | flat[inside]) * _P[0]
+            term = (term ^ (term >> np.uint64(29))) * _P[1]
+            term ^= term >> np.uint64(32)
+            own = np.add.reduceat(term, np.cumsum(size) - size) if size.size else np.zeros(0, np.uint64)
+        self.hash, at, self.ids = np.unique(own, return_index=True, return_inverse=True)
+        # the distinct words, a space before each and behind the last
+        start, size = start[at], size[at]
+        self._marked = np.full(int(size.sum()) + size.size + 1, 32, np.uint8)
+        self._marked[np.arange(int(size.sum())) + np.repeat(np.arange(1, size.size + 1), size)] = flat[np.repeat(start, size) + _counted(size)]
         self._grams()
 
     def _grams(self) -> None:
-        """Places of each distinct word's own features, and its hash."""
-        flat = np.frombuffer(b"".join(b"<" + w + b">" for w in self.names), np.uint8).astype(np.uint64)
-        size = np.array([len(w) + 2 for w in self.names], np.int64)
-        start = np.cumsum(size) - size
-        owner = np.repeat(np.arange(size.size), size)
+        """Places of each distinct word's own features. A space, which no word has, marks word ends."""
+        flat = np.frombuffer(self._marked.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+        edge = np.flatnonzero(flat == 32)
+        size = np.diff(edge)
+        owner = np.repeat(np.arange(size.size), size)  # of each place but the last, the mark before a word included
+        room = np.repeat(edge[1:], size) - np.arange(owner.size)
         places, owners = [], []
         with np.errstate(over="ignore"):
-            power = np.uint64(1)
             h = np.zeros(flat.size, np.uint64)
             for n in range(4):
                 h[: flat.size - n] = h[: flat.size - n] * _P[1] + flat[n:] + np.uint64(1) if flat.size > n else 0
                 if n >= 2:
-                    ok = np.flatnonzero(np.arange(flat.size) - start[owner] + n < size[owner])
+                    ok = np.flatnonzero(room >= n)
                     places.append(_place(h[ok] + _P[2] * np.uint64(n)))
                     owners.append(owner[ok])
-            # a word's hash: its bytes weighted by powers that start over at each word
-            step = np.arange(flat.size) - start[owner]
-            powers = np.cumprod(np.concatenate([[power], np.full(int(size.max()) if size.size else 0, _P[0], np.uint64)]))
-            self.hash = np.zeros(size.size, np.uint64)
-            np.add.at(self.hash, owner, (flat + np.uint64(1)) * powers[step])
         places.append(_place(self.hash))
         owners.append(np.arange(size.size))
         self.places, self.owners = np.concatenate(places), np.concatenate(owners)
@@ -103,7 +109,7 @@ class Words:
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Mean weight over each text's features, 0 without any."""
-        own = np.bincount(self.owners, weights[self.places], minlength=len(self.names))
+        own = np.bincount(self.owners, weights[self.places], minlength=self.hash.size)
         pair, text = self.pairs()
         return (self.sums(own) + np.bincount(text, weights[pair], minlength=self.size.size)) / np.maximum(1, self.total())
 
@@ -135,13 +141,29 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.odds(scores), -60, 60)))
 
 
+#: Features that are summed at once while fitting.
+_FEATURES = 1 << 20
+
+
+def sums(row: np.ndarray, place: np.ndarray, value: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
+    """Each row's sum of weights times values."""
+    z = np.zeros(size)
+    for k in range(0, row.size, _FEATURES):
+        part = slice(k, k + _FEATURES)
+        z += np.bincount(row[part], w[place[part]] * value[part], minlength=size)
+    return z
+
+
 def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int, rounds: int = 120, rate: float = 8.0, shrink: float = 1e-6) -> np.ndarray:
     """Weights of a logistic regression, by full-batch gradients with per-weight step sizes; no randomness."""
     w, seen, bias, seen_bias = np.zeros(size), np.full(size, 1e-10), 0.0, 1e-10
     for _ in range(rounds):
-        z = np.bincount(row, w[place] * value, minlength=y.size) + bias
+        z = sums(row, place, value, w, y.size) + bias
         g = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / weight.sum()
-        grad = np.bincount(place, g[row] * value, minlength=size) + shrink * w
+        grad = shrink * w
+        for k in range(0, row.size, _FEATURES):
+            part = slice(k, k + _FEATURES)
+            grad += np.bincount(place[part], g[row[part]] * value[part], minlength=size)
         seen += grad**2
         seen_bias += g.sum() ** 2
         w -= rate * grad / np.sqrt(seen)
