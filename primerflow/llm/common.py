@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,36 +26,39 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
+#: Rows that are handled at once. Spark bounds Arrow batches by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``) and
+#: by rows; operators take those in slices and leave the session's settings alone.
+BATCH_ROWS = 2048
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with a release of memory behind each task."""
+    """``df.mapInArrow`` by slices of ``BATCH_ROWS`` rows, with a release of memory behind each task."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS))
         finally:
             release()
 
     return df.mapInArrow(task, schema)
 
 
-#: Rows that one Arrow batch may hold. Texts have no upper length, so batches are kept short.
-BATCH_ROWS = 2048
-
-
-#: Folders made where the setting is missing, by application.
+#: Folders of applications that have one already.
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session, with its scheme.
 
-    Where the setting is missing (tests, one machine) a temporary folder takes its place.
+    Where the setting is missing and all tasks run on this machine, a temporary folder takes its place; a cluster without
+    it is an error, since its executors would write to their own disks.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = _OWN.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="primerflow-")
-        _OWN[context.applicationId] = base
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        base = tempfile.gettempdir()
     if "://" not in base:  # a bare path is on the default file system
         path = context._jvm.org.apache.hadoop.fs.Path(base)
         base = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -63,8 +67,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the application's part of the shared folder, which can go when the application has ended."""
-    return f"{shared_dir(spark)}/primerflow-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the application's part of the shared folder, which goes when the driver's JVM ends."""
+    name = spark.sparkContext.applicationId
+    if name not in _OWN:
+        own = f"{shared_dir(spark)}/primerflow-{name}-{uuid.uuid4().hex[:8]}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _OWN[name] = own
+    return f"{_OWN[name]}/{tag}-{uuid.uuid4().hex}"
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
+def move(system: fs.FileSystem, source: str, target: str) -> None:
+    """Gives a finished file its name. Where a task that ran twice has left the same file under it, that one stays."""
+    try:
+        system.move(source, target)
+    except OSError:
+        if system.get_file_info(target).type != fs.FileType.File:
+            raise
+        system.delete_file(source)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -75,15 +101,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches to ``BATCH_ROWS`` rows."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def by_batch(df: DataFrame, build: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``build`` on each Arrow batch of ``df``; it returns the columns of ``schema`` by name."""
-    short_batches(df.sparkSession)
     names, types = arrow_fields(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, only, texts_of, written
-from .fast_bpe import fast_bpe
+from .library import library
 from .pattern_fit import plan
 
 LENGTH = 2048
@@ -36,8 +36,8 @@ def pieces(docs: DataFrame, vocab: str, end_id: int = 0, length: int = LENGTH, i
 
     def run(batch: pa.RecordBatch) -> dict:
         rows: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-        for doc, one in zip(batch.column(0).to_pylist(), fast_bpe(vocab).packed(texts_of(batch.column(1)))):
-            one = np.append(one, end_id).astype("<u4")
+        for doc, one in zip(batch.column(0).to_pylist(), library(vocab).packed(texts_of(batch.column(1)))):
+            one = np.append(np.frombuffer(one, "<u4"), np.uint32(end_id)).astype("<u4")
             for k, at in enumerate(range(0, one.size, length)):
                 part = one[at : at + length].tobytes()
                 for name, value in zip(rows, (doc, k, at, len(part) // 4, zlib.crc32(part), part)):

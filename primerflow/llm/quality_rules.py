@@ -7,7 +7,7 @@ what is sent to the executors is one weight for each of ``2**BITS`` places.
 
 A null text counts as empty: no words, so the base rules reject it. Without labels of both classes the verdict
 is that of the base rules alone. One row out per row in, null and repeated ids included. A task holds the places of one
-text's words, or of as many short texts as have about 150,000 words, so memory follows the longest text.
+text's words, or of as many short texts as have about 16,000 words, so memory follows the longest text.
 """
 
 from __future__ import annotations

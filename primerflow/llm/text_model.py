@@ -17,7 +17,7 @@ _MASK = np.uint64(2**BITS - 1)
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Words of a batch that are counted at once.
-_WORDS = 150_000
+_WORDS = 16_000
 
 
 def _place(h: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, mapped, only, short_batches, texts_of, written
+from .common import arrow_fields, mapped, only, texts_of, written
 from .units import Encoder
 from .vocab import ids_of, pattern, tokenizer
 
@@ -61,7 +61,6 @@ class Pieces:
 
 def blocks(docs: DataFrame, path: str) -> DataFrame:
     """Per block of documents: its distinct pre-tokens, frequent ones first, and the packed ids, sizes and frequencies."""
-    short_batches(docs.sparkSession)
     names, types = arrow_fields(docs.sparkSession, _BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

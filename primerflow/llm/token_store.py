@@ -6,7 +6,7 @@ slot, a stored fingerprint, the place of the document's first id, and its count.
 ascending order, so the ids of all shards joined are those of all documents in order.
 
 Each task writes its shard under a name of its own and renames it at the end: a task that runs again, or twice,
-leaves the same files. ``catalog`` (Parquet) lists the keys by shard.
+leaves the same files: a file that is there already is the same, and stays. ``catalog`` (Parquet) lists the keys by shard.
 
 A null text counts as empty and has the end id alone. A null doc_id sorts first. Rows that share a doc_id are
 told apart by their order (by text) and are each stored. Further columns are ignored. An empty table gives no
@@ -22,14 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, mapped, new_path, only, short_batches, texts_of
+from .common import arrow_fields, file_system, mapped, move, new_path, only, texts_of
+from .library import library
 from .perfect_hash import PerfectHash, fingerprint, key_of
-from .fast_bpe import fast_bpe
 from .vocab import tokenizer
 
 _CATALOG = "shard int, doc_id long, repeat long"
@@ -43,23 +42,18 @@ class Store:
     catalog: DataFrame
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-
-
 def write(docs: DataFrame, vocab: str, end_id: int = 0, path: str | None = None) -> Store:
-    """Encodes ``text`` by a file of the tokenizers library (``fast_bpe``) and writes the shards below ``path`` (a folder that all see)."""
+    """Encodes ``text`` by a file of the tokenizers library (``library``) and writes the shards below ``path`` (a folder that all see)."""
     spark = docs.sparkSession
-    short_batches(spark)
     path = path or new_path(spark, "tokens")
     wide = 4 if tokenizer(vocab).get_vocab_size(with_added_tokens=True) > 2**16 or end_id >= 2**16 else 2
     names, types = arrow_fields(spark, _CATALOG)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = _file_system(path)
+        fs, at = file_system(path)
         task = TaskContext.get()
         number, own = task.partitionId(), f"{at}/.{task.partitionId():06d}-{task.taskAttemptId()}"
-        encode, out = fast_bpe(vocab).packed, None
+        encode, out = library(vocab).packed, None
         keys, counts, last, repeat = [], [], (), 0
         for batch in batches:
             if not batch.num_rows:
@@ -73,7 +67,7 @@ def write(docs: DataFrame, vocab: str, end_id: int = 0, path: str | None = None)
                 last = (i,)
                 seen.append(repeat)
             for one in encode(texts):
-                one = np.append(one, end_id)
+                one = np.append(np.frombuffer(one, "<u4"), end_id)
                 counts.append(one.size)
                 out.write(one.astype(f"<u{wide}").tobytes())
             null = np.array([i is None for i in ids])
@@ -84,7 +78,7 @@ def write(docs: DataFrame, vocab: str, end_id: int = 0, path: str | None = None)
             with fs.open_output_stream(own + ".idx") as f:
                 f.write(_index_bytes(np.concatenate(keys), np.array(counts, np.int64), wide))
             for kind in ("ids", "idx"):
-                fs.move(f"{own}.{kind}", f"{at}/{number:06d}.{kind}")
+                move(fs, f"{own}.{kind}", f"{at}/{number:06d}.{kind}")
 
     ordered = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     catalog = f"{path}/catalog"
@@ -107,7 +101,7 @@ class Shard:
     """One shard, opened: the index in memory, ids read at their place."""
 
     def __init__(self, path: str, number: int):
-        fs, at = _file_system(path)
+        fs, at = file_system(path)
         with fs.open_input_file(f"{at}/{number:06d}.idx") as f:
             data = f.read()
         end = data.index(b"\n")
@@ -151,7 +145,7 @@ def totals(store: Store) -> list[int]:
     names, types = arrow_fields(store.catalog.sparkSession, _SUMS)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = _file_system(path)
+        fs, at = file_system(path)
         for batch in batches:
             rows = []
             for n in batch.column(0).to_pylist():

@@ -21,12 +21,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_fields, mapped, new_path, only, short_batches, written
+from .common import arrow_fields, file_system, mapped, move, new_path, only, written
 
 MIN_REVISIT = 100
 #: Compression level of records: pages are repetitive, higher levels cost several times the CPU.
@@ -132,10 +131,6 @@ def row_of(r: Record) -> tuple:
     return _page(h["warc-record-id"]), None if url is None else _unescaped(url), size, digest.removeprefix("sha256:"), h["warc-type"], None if refers is None else _page(refers)
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-
-
 def with_types(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest, refers_to. Only digests and ids are grouped; a payload that a third of all pages
     share is one group of partial minima, and its pages are joined back by Spark's skew join."""
@@ -150,11 +145,10 @@ def with_types(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the archives below ``path`` (a folder that all see) and returns their names."""
     spark = pages.sparkSession
-    short_batches(spark)
     path = path or new_path(spark, "warc")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = _file_system(path)
+        fs, at = file_system(path)
         task = TaskContext.get()
         own, name, out = f"{at}/.{task.partitionId():06d}-{task.taskAttemptId()}", f"{task.partitionId():06d}.warc.gz", None
         for batch in batches:
@@ -166,10 +160,9 @@ def write(pages: DataFrame, path: str | None = None) -> DataFrame:
                 out.write(record(page, url, payload, digest, first))
         if out is not None:
             out.close()
-            fs.move(own, f"{at}/{name}")
+            move(fs, own, f"{at}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"])], ["archive"])
 
-    typed = with_types(pages)
     names = f"{path}/names"
     mapped(with_types(pages), archive, "archive string").write.parquet(names)
     return spark.read.schema("archive string").parquet(names)
@@ -182,7 +175,7 @@ def read(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                fs, at = _file_system(path)
+                fs, at = file_system(path)
                 with fs.open_input_stream(at, compression=None) as f:
                     rows = []
                     for r in records(iter(lambda: f.read(_BLOCK), b"")):
@@ -193,4 +186,4 @@ def read(archives: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return archives.select("archive").repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism * 4)).mapInArrow(run, _RECORDS)
+    return mapped(archives.select("archive").repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism * 4)), run, _RECORDS)

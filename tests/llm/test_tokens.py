@@ -9,7 +9,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from primerflow.llm import bpe_codec, packing, perfect_hash, pattern_fit, token_count, token_store
-from primerflow.llm.fast_bpe import FastBpe
+from primerflow.llm.library import library
 from primerflow.llm.units import units
 from primerflow.llm.vocab import ids_of, pattern, public, ranks_of, tokenizer
 
@@ -17,32 +17,49 @@ BYTES, WORDS, RANKS = (public(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.js
 TEXTS = st.text(st.sampled_from("ab  \n\t'sé1.☃😀\x1c\x85　 ΣİǺ\0<|endoftext|>"), max_size=40)
 
 
+PLAIN = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks_of(RANKS), special_tokens={})
+
+
 def ids(path, text):
     return tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
 def reference():
-    return tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks_of(RANKS), special_tokens={})
+    return PLAIN
 
 
 @settings(max_examples=300, deadline=None)
-@given(TEXTS)
-def test_fast_encoders_match_the_library(text):
+@given(st.lists(TEXTS, max_size=5))
+def test_cut_texts_have_the_ids_of_whole_texts(texts):
     for path in (BYTES, WORDS):
-        assert FAST[path].encode(text).tolist() == ids(path, text)
-    assert "".join(units(text)) == text
+        assert [np.frombuffer(x, "<u4").tolist() for x in library(path).packed(texts)] == [ids(path, t) for t in texts]
+    assert all("".join(units(t)) == t for t in texts)
 
 
-FAST = {p: FastBpe(p) for p in (BYTES, WORDS)}
+def test_every_code_point_with_every_kind_of_neighbour():
+    """Each character doubled, behind letters, digits and spaces, and with combining marks, as the library reads it whole."""
+    planes = [*range(0x40000), *range(0xE0000, 0xE1000)]  # those with assigned characters
+    texts = []
+    for first in range(0, len(planes), 64):
+        chars = [chr(cp) for cp in planes[first : first + 64] if not 0xD800 <= cp < 0xE000]
+        texts.append("\n".join(f"A{c}{c}1{c} {c}b\u0301{c}\u0323 \u0301{c}{c} {c}" for c in chars))
+    for path in (BYTES, WORDS):
+        assert library(path).packed(texts) == [np.array(x, "<u4").tobytes() for x in ids_of(path, texts)]
+
 
+def test_what_the_library_said_is_forgotten_in_turn(monkeypatch):
+    from primerflow.llm import library as module
 
-def test_fast_encoders_on_every_code_point():
+    monkeypatch.setattr(module, "KEEP", 3)
+    monkeypatch.setattr(module, "LONGEST", 6)
+    monkeypatch.setattr(module, "_TEXT", 20)
+    monkeypatch.setattr(module, "_CALL", 5)
+    texts = ["one two three four", "two three fivefivefive", "", "one <|endoftext|> six", "four one"] * 3
     for path in (BYTES, WORDS):
-        for cp in [*range(0x3000), *range(0x3000, 0x110000, 37)]:
-            if not 0xD800 <= cp < 0xE000:
-                t = f"A{chr(cp)}1 {chr(cp)}b  {chr(cp)} "
-                assert FAST[path].encode(t).tolist() == ids(path, t), hex(cp)
+        one = module.Library(path)
+        assert [np.frombuffer(x, "<u4").tolist() for x in one.packed(texts)] == [ids(path, t) for t in texts]
+        assert len(one.young) + len(one.old) < 20 and all(len(u) <= 6 for u in [*one.young, *one.old])
 
 
 @settings(max_examples=300, deadline=None)
@@ -50,10 +67,8 @@ def test_fast_encoders_on_every_code_point():
 def test_codec_round_trip(text):
     codec = bpe_codec.codec(RANKS)
     packed = codec.encode(text)
-    want = tiktoken.Encoding("own", pat_str=pattern(), mergeable_ranks=ranks_of(RANKS), special_tokens={}).encode_ordinary(text) if len(text) < 3 else None
     assert codec.decode(packed) == text.encode()
-    if want is not None:
-        assert np.frombuffer(packed, "<u4").tolist() == want
+    assert np.frombuffer(packed, "<u4").tolist() == PLAIN.encode_ordinary(text)
 
 
 def test_codec_table(odd, odd_rows, empty, reference):
