@@ -51,17 +51,20 @@ def fit(histogram: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def rounded(histogram: np.ndarray, rows: np.ndarray, x: np.ndarray) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
-    """Whole repeat counts that the histogram covers, those of the largest fit first, and what is left of it."""
-    left, out = histogram.copy(), []
+    """Whole repeat counts, those of the largest fit first, and what is left of the histogram. A pattern fills a sequence
+    exactly, so one that the fit uses at all is taken once at least, as far as what is left covers it: where many lengths
+    are rare, the fit spreads a document over many patterns and rounding down would take none of them."""
+    left, out = histogram.tolist(), []
     order = np.argsort(-x, kind="stable")
-    for k in order[x[order] >= 0.5]:
-        need = {int(v): int(n) for v, n in zip(*np.unique(rows[k], return_counts=True)) if v}
-        n = min(int(np.floor(x[k] + 0.5)), *(int(left[v]) // m for v, m in need.items()))
+    order = order[x[order] > 0]
+    for lengths, wish in zip(rows[order].tolist(), np.maximum(1, np.floor(x[order] + 0.5)).astype(np.int64).tolist()):
+        need = {v: lengths.count(v) for v in lengths if v}
+        n = min(wish, *(left[v] // m for v, m in need.items()))
         if n > 0:
             out.append((need, n))
             for v, m in need.items():
                 left[v] -= n * m
-    return out, left
+    return out, np.array(left, np.int64)
 
 
 def best_fit(left: np.ndarray) -> list[tuple[dict[int, int], int]]:

@@ -148,6 +148,15 @@ def test_plan_is_near_the_bound():
     assert check_plan(h) <= 1.002 * -(-int((h * np.arange(2049)).sum()) // 2048)
 
 
+@pytest.mark.parametrize("pieces", [1_000, 20_000, 2_000_000])
+def test_patterns_place_the_most(pieces):
+    rng = np.random.default_rng(2)
+    h = np.bincount(np.minimum(rng.lognormal(6.5, 0.9, pieces).astype(int) + 1, 2048), minlength=2049)
+    rows = pattern_fit.patterns(h)
+    taken, left = pattern_fit.rounded(h, rows, pattern_fit.fit(h, rows))
+    assert left.sum() < 0.4 * h.sum() and all(sum(a * b for a, b in kind.items()) == 2048 for kind, _ in taken)
+
+
 def test_packing(odd, odd_rows, empty):
     rows = packing.pack(odd, WORDS).collect()
     want = []
