@@ -8,12 +8,13 @@ One suffix array of the whole corpus would have to be in one place, so places ar
 window of ``length`` bytes picks an anchor, the ``ANCHOR``-byte string in it with the least hash: equal windows pick
 equal anchors. Neighbouring windows with one anchor are a run. Anchors that occur once need nothing more. Equal
 runs of an anchor are collapsed to their first place and a count. Where an anchor has different runs, the distinct
-ones are put side by side in order, their suffixes are sorted by their first ``length`` bytes, ties by place, and
-the previous (next) smaller place in that order gives each window its earlier (later) match: its
-longest-previous-factor value, which matters only up to ``length``, reaches it or not.
+ones are put side by side in order of place and the suffix array of their windows is made, with the common prefixes of
+neighbours. The previous and the next smaller place in suffix order give each window's longest previous factor: a
+window that has ``length`` bytes of it occurs earlier.
 
-A task sorts about ``BLOCK`` bytes at a time, whole anchors. An anchor with more than ``VARIANTS`` different runs is
-dealt out by window instead: equal windows of it meet by their 128-bit hash.
+A task sorts about ``BLOCK`` bytes at a time, whole anchors. The runs of an anchor with more than ``VARIANTS`` different
+ones come as single windows, dealt out to several such blocks by their hash, so that no task grows with an anchor; they
+take the same way from there.
 
 A null text counts as empty. Texts are taken as UTF-8 bytes and as a whole, in overlapping slices of ``SLICE`` bytes
 for bounded memory. Null and repeated ids are allowed; rows equal in id and text are each an occurrence, and
@@ -39,6 +40,7 @@ SLICE, BLOCK, VARIANTS = 1 << 19, 800_000, 20_000
 _PLACE_BITS = 22
 _B = 0x9E3779B97F4A7C15
 _RUNS = "d long, h long, lo int, hi int, anchor long, run long"
+_CONTENTS = "d long, h long, lo int, anchor long, part int, run long, window int, content binary"
 _RANGES = "anchor long, run long, repeated binary, earlier binary"
 _powers: dict[str, np.ndarray] = {}
 
@@ -114,130 +116,134 @@ def compressed(docs: DataFrame) -> DataFrame:
     return by_batch(_keys(docs), run, "d long, h long, doc_id long, z binary")
 
 
-def _ranked(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return np.unique(high << 32 | low, return_inverse=True)[1].astype(np.int64)
-
-
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """``starts`` in the order of their first ``length`` bytes, ties by place, and whether each equals the one before.
+    """The suffix array of ``starts`` by their first ``length`` bytes, ties by place, and how many bytes each has in common
+    with the one before, ``length`` at most (0 for the first).
 
-    Prefix doubling: ranks of 8, 16, 32, ... bytes at every place, then of ``length`` bytes at the starts."""
-    padded = np.concatenate([data, np.zeros(length, np.uint8)])
+    Prefix doubling: ranks of 8, 16, 32, ... bytes at every place; the same ranks, from long to short, then give the
+    common prefixes of neighbours."""
+    padded = np.concatenate([data, np.zeros(2 * length, np.uint8)])
     words = np.zeros(padded.size - 7, np.uint64)
     for k in range(8):
         words = words << np.uint64(8) | padded[k : padded.size - 7 + k]
-    rank, have = np.unique(words, return_inverse=True)[1].astype(np.int64), 8
+    ranks, have = [np.unique(words, return_inverse=True)[1].astype(np.int64)], 8
     while 2 * have <= length:
-        rank = _ranked(rank[:-have], rank[have:])
+        ranks.append(np.unique(ranks[-1][:-have] << 32 | ranks[-1][have:], return_inverse=True)[1].astype(np.int64))
         have *= 2
-    key = rank[starts] << 32 | rank[starts + length - have]
+    key = ranks[-1][starts] << 32 | ranks[-1][starts + length - have]
     order = np.argsort(key, kind="stable")
-    same = np.concatenate([[False], key[order[1:]] == key[order[:-1]]])
-    return order, same
+    a, b, common = starts[order[:-1]], starts[order[1:]], np.zeros(max(0, starts.size - 1), np.int64)
+    for rank in reversed(ranks):
+        common += np.where(rank[a + common] == rank[b + common], have, 0)
+        have //= 2
+    differ = words[a + common] ^ words[b + common]
+    for k in range(1, 8):
+        common += differ >> np.uint64(64 - 8 * k) == 0
+    return order, np.minimum(length, np.concatenate([[0][: starts.size], common]))
+
+
+def smaller_before(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each entry of a suffix array, the bytes in common with the last entry before it that has a smaller place; 0
+    without one. Each entry looks at the one before, and while that has a larger place, at what that looks at."""
+    look, least = np.arange(-1, place.size - 1), common.copy()
+    todo = np.flatnonzero(place[look] > place)
+    todo = todo[todo > 0]
+    while todo.size:
+        at = look[todo]
+        least[todo], look[todo] = np.minimum(least[todo], least[at]), look[at]
+        todo = todo[look[todo] >= 0]
+        todo = todo[place[look[todo]] > place[todo]]
+    least[look < 0] = 0
+    return least
 
 
 def factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each start's longest previous factor, and its longest later one, reach ``length``. In suffix order with
-    ties by place, the previous smaller place with a common prefix that long is the neighbour before, the next
-    larger the neighbour behind."""
-    order, same = suffix_order(data, starts, length)
-    earlier, later = np.zeros(starts.size, bool), np.zeros(starts.size, bool)
-    earlier[order] = same
-    later[order[:-1]] = same[1:]
-    return earlier, later
-
-
-def ranges(flags: np.ndarray) -> bytes:
-    """Maximal runs of true places as packed (first, last) pairs."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    """For each start (ascending): its longest previous factor, that is the most bytes that it has in common with an
+    earlier start, and the most that it has in common with any other start; ``length`` at most. The previous and the
+    next smaller place in suffix order give the former, the neighbours the latter."""
+    order, common = suffix_order(data, starts, length)
+    after = np.concatenate([common[1:], [0][: starts.size]])
+    previous, any_other = np.zeros(starts.size, np.int64), np.zeros(starts.size, np.int64)
+    previous[order] = np.maximum(smaller_before(order, common), smaller_before(order[::-1], after[::-1])[::-1])
+    any_other[order] = np.maximum(common, after)
+    return previous, any_other
+
+
+def ranges(flags: np.ndarray, shift: int = 0) -> bytes:
+    """Maximal runs of true places as packed (first, last) pairs, counted from ``shift``."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))) + shift
     return np.stack([edge[::2], edge[1::2] - 1], 1).astype("<i4").tobytes()
 
 
 def partial(contents: DataFrame, length: int) -> DataFrame:
     """anchor, run, and the windows of the run (from 0) that occur in another run, or in an earlier one, of its
-    anchor. ``contents``: anchor, d, h, lo, run, content; whole anchors stand together, in order of place."""
+    anchor. ``contents``: rows of ``contents()``; those of an anchor and part stand together, in order of place."""
     names, types = arrow_fields(contents.sparkSession, _RANGES)
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
-        unique, seen = [], set()
-        for anchor, run, content in rows:
-            if (anchor, run) not in seen:
-                seen.add((anchor, run))
-                unique.append((anchor, run, content))
-        size = np.array([len(c) for _, _, c in unique])
+        unique = list({row[:-1]: row for row in rows}.values())  # rows equal in id and text are given once each
+        size = np.array([len(row[-1]) for row in unique])
         windows = size - length + 1
         owner = np.repeat(np.arange(size.size), windows)
         within = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-        earlier, later = factors(np.frombuffer(b"".join(c for _, _, c in unique), np.uint8), (np.cumsum(size) - size)[owner] + within, length)
+        # places of different anchors are no matches of each other: their first bytes may agree, their windows can't
+        previous, any_other = factors(np.frombuffer(b"".join(row[-1] for row in unique), np.uint8), (np.cumsum(size) - size)[owner] + within, length)
         ends = np.cumsum(windows)
         cut = [slice(e - w, e) for e, w in zip(ends.tolist(), windows.tolist())]
-        columns = [u[0] for u in unique], [u[1] for u in unique], [ranges((earlier | later)[c]) for c in cut], [ranges(earlier[c]) for c in cut]
+        shift = [row[3] for row in unique]
+        columns = [row[0] for row in unique], [row[2] for row in unique], [ranges(any_other[c] >= length, k) for c, k in zip(cut, shift)], [ranges(previous[c] >= length, k) for c, k in zip(cut, shift)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= BLOCK and row[0] != last:
+                if size >= BLOCK and row[:2] != last:
                     yield block(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size, last = size + len(row[2]), row[0]
+                size, last = size + len(row[-1]), row[:2]
         if rows:
             yield block(rows)
 
-    ordered = contents.repartition("anchor").sortWithinPartitions("anchor", "d", "h", "lo")
-    return mapped(ordered.select("anchor", "run", "content"), run, _RANGES)
-
-
-def partial_by_window(contents: DataFrame, length: int) -> DataFrame:
-    """As ``partial``, for anchors with too many runs: windows are dealt out by their hash."""
-
-    def split(batch: pa.RecordBatch) -> dict:
-        digest, out = xxhash.xxh3_128_intdigest, {n: [] for n in ("row", "window", "w1", "w2")}
-        for k, content in enumerate(batch.column(5).to_pylist()):
-            for a in range(len(content) - length + 1):
-                x = digest(content[a : a + length])
-                for n, v in zip(out, (k, a, (x >> 64) - 2**63, x % 2**64 - 2**63)):
-                    out[n].append(v)
-        at = pa.array(out.pop("row"), pa.int64())
-        return out | {n: batch.column(k).take(at) for k, n in enumerate(("anchor", "run", "d", "h", "lo"))}
-
-    schema = "anchor long, run long, d long, h long, lo int, window int, w1 long, w2 long"
-    windows = by_batch(contents.select("anchor", "run", "d", "h", "lo", "content"), split, schema)
-    place = F.struct("d", "h", "lo", "window")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    found = windows.join(twice, ["w1", "w2"]).groupBy("anchor", "run").agg(F.collect_list(F.struct("window", (place > F.col("first")).alias("late"))).alias("found"))
-
-    def pack(batch: pa.RecordBatch) -> dict:
-        out = {"anchor": batch.column(0), "run": batch.column(1), "repeated": [], "earlier": []}
-        for rows in batch.column(2).to_pylist():
-            flags = np.zeros((2, max(r["window"] for r in rows) + 1), bool)
-            for r in rows:
-                flags[0, r["window"]], flags[1, r["window"]] = True, r["late"]
-            out["repeated"].append(ranges(flags[0]))
-            out["earlier"].append(ranges(flags[1]))
-        return out
-
-    return by_batch(found, pack, _RANGES)
+    ordered = contents.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "d", "h", "lo", "window")
+    found = mapped(ordered.select("anchor", "part", "run", "window", "content"), run, _RANGES)
+    joined = [F.expr(f"aggregate(collect_list({c}), X'', (a, x) -> concat(a, x))").alias(c) for c in ("repeated", "earlier")]
+    return found.groupBy("anchor", "run").agg(*joined)
 
 
 def contents(firsts: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The bytes of runs, cut from their documents."""
-    wanted = firsts.groupBy("d", "h").agg(F.collect_list(F.struct("anchor", "run", "lo", "hi")).alias("runs"))
+    """d, h, lo, anchor, part, run, window, content: the bytes of runs, cut from their documents. Where an anchor has
+    several ``parts``, each window is a row of its own, in the part that its hash names: equal windows stay together."""
+    wanted = firsts.groupBy("d", "h").agg(F.collect_list(F.struct("anchor", "run", "lo", "hi", "parts")).alias("runs"))
     joined = compressed(docs).drop("doc_id").join(wanted, ["d", "h"]).select("d", "h", "z", "runs")
+    names, types = arrow_fields(docs.sparkSession, _CONTENTS)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        unpack, out = zstandard.ZstdDecompressor(), {n: [] for n in ("row", "anchor", "run", "lo", "content")}
-        for k, (z, rows) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            data = unpack.decompress(z)
-            for r in rows:
-                for n, v in zip(out, (k, r["anchor"], r["run"], r["lo"], data[r["lo"] : r["hi"] + length])):
-                    out[n].append(v)
-        at = pa.array(out.pop("row"), pa.int64())
-        return out | {"d": batch.column(0).take(at), "h": batch.column(1).take(at)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, out, size = zstandard.ZstdDecompressor(), [], 0
+
+        def ready() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return by_batch(joined, run, "d long, h long, anchor long, run long, lo int, content binary")
+        for batch in batches:
+            for d, h, z, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                data = unpack.decompress(z)
+                for r in rows:
+                    if r["parts"] == 1:
+                        cut = [(0, 0, data[r["lo"] : r["hi"] + length])]
+                    else:
+                        cut = [(k, 0, data[r["lo"] + k : r["lo"] + k + length]) for k in range(r["hi"] - r["lo"] + 1)]
+                        cut = [(k, xxhash.xxh3_64_intdigest(c) % r["parts"], c) for k, _, c in cut]
+                    for k, part, content in cut:
+                        out.append((d, h, r["lo"], r["anchor"], part, r["run"], k, content))
+                        size += len(content)
+                    if size >= BLOCK:
+                        yield ready()
+                        out, size = [], 0
+        if out:
+            yield ready()
+
+    return mapped(joined, run, _CONTENTS)
 
 
 def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
@@ -249,12 +255,10 @@ def spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> Da
     place = F.struct("d", "h", "lo", "hi")
     equal = written(again.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("differ").alias("differ")), "equal-runs")
     differ = equal.where("differ")
-    crowded = differ.groupBy("anchor").count().where(F.col("count") > VARIANTS).select("anchor", F.lit(True).alias("crowded"))
-    firsts = differ.join(crowded, "anchor", "left").select("anchor", "run", "first.*", F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    cut = written(contents(firsts.where("NOT crowded"), docs, length), "contents")
-    parts = partial(cut, length)
-    if not firsts.where("crowded").isEmpty():
-        parts = parts.unionByName(partial_by_window(contents(firsts.where("crowded"), docs, length), length))
+    # each anchor's runs are counted before they are dealt out
+    parts = differ.groupBy("anchor").agg(F.ceil(F.count("*") / VARIANTS).cast("int").alias("parts"))
+    firsts = differ.join(written(parts, "parts"), "anchor").select("anchor", "run", "first.*", "parts")
+    parts = partial(written(contents(firsts, docs, length), "contents"), length)
     verdict = equal.select("anchor", "run", "n", "first").join(written(parts, "ranges"), ["anchor", "run"], "left")
     own = F.struct("d", "h", "lo", "hi") == F.col("first")
     whole = (~own) if keep_first else (F.col("n") > 1)

@@ -176,18 +176,21 @@ def mixed(rng, n=40):
 
 
 def test_repeated_passages(spark, odd, odd_rows, empty):
-    small = [r for r in odd_rows if len(r[1] or "") < 50_000]
-    assert dedup_rows(odd.where("doc_id IS NULL OR doc_id <> 11")) == removal_rows(small)
+    assert dedup_rows(odd) == removal_rows(odd_rows)
     rows = mixed(random.Random(6))
     assert dedup_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == removal_rows(rows)
     assert suffix_dedup.digests(empty).count() == 0
 
 
-def test_repeated_passages_by_window_and_in_slices(spark, monkeypatch):
+def test_repeated_passages_of_crowded_anchors_and_in_slices(spark, monkeypatch):
     rows = mixed(random.Random(7), 25)
-    monkeypatch.setattr(suffix_dedup, "VARIANTS", 1)
-    monkeypatch.setattr(suffix_dedup, "SLICE", 300)
-    assert dedup_rows(spark.createDataFrame(rows, "doc_id long, text string")) == removal_rows(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = sorted((r.doc_id, r.text) for r in suffix_dedup.dedup(df).collect())
+    for variants, part in ((1, 300), (3, 1000)):
+        monkeypatch.setattr(suffix_dedup, "VARIANTS", variants)
+        monkeypatch.setattr(suffix_dedup, "SLICE", part)
+        assert dedup_rows(df) == removal_rows(rows)
+        assert sorted((r.doc_id, r.text) for r in suffix_dedup.dedup(df).collect()) == first
 
 
 def test_first_copy_stays(spark):
@@ -202,11 +205,29 @@ def test_first_copy_stays(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab", min_size=8, max_size=24), min_size=1, max_size=6))
-def test_factors(texts):
+@given(st.lists(st.text("ab", min_size=8, max_size=24), min_size=1, max_size=6), st.sampled_from([8, 12, 20]))
+def test_factors(texts, length):
+    """Longest previous factors, and longest matches anywhere, by comparing all pairs."""
     data = "".join(texts).encode()
-    starts = np.array([a for a in range(len(data) - 7)])
-    earlier, later = suffix_dedup.factors(np.frombuffer(data, np.uint8), starts, 8)
-    at = [data[a : a + 8] for a in starts]
-    assert earlier.tolist() == [at[k] in at[:k] for k in range(len(at))]
-    assert later.tolist() == [at[k] in at[k + 1 :] for k in range(len(at))]
+    starts = np.arange(max(1, len(data) - length + 1))
+    data += b"c" * (length - 8)
+    at = [data[a : a + length] for a in starts]
+    same = [[next((n for n in range(length) if a[n : n + 1] != b[n : n + 1]), length) for b in at] for a in at]
+    previous, any_other = suffix_dedup.factors(np.frombuffer(data, np.uint8), starts, length)
+    assert previous.tolist() == [max(same[k][:k], default=0) for k in range(len(at))]
+    assert any_other.tolist() == [max(same[k][:k] + same[k][k + 1 :], default=0) for k in range(len(at))]
+
+
+def test_factors_of_a_large_block():
+    """Descending, equal and random places take the same way."""
+    rng = np.random.default_rng(9)
+    data = np.concatenate([np.arange(60_000) // 256, np.full(3_000, 7), rng.integers(0, 3, 40_000)]).astype(np.uint8)
+    starts = np.arange(data.size - 200)
+    previous, any_other = suffix_dedup.factors(data, starts, 200)
+    seen, text = {}, data.tobytes()
+    for a in starts.tolist():
+        seen.setdefault(text[a : a + 200], []).append(a)
+    again = np.zeros(starts.size, bool)
+    for places in seen.values():
+        again[places[1:]] = True
+    assert ((previous >= 200) == again).all() and (any_other >= previous).all()
