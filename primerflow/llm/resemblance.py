@@ -3,7 +3,7 @@
 Candidates meet in bands of minimal hashes: 8 bands of 3 find a pair at 0.8 with probability 0.997 and one at 0.9 with
 0.99997. Everything that meets is verified on the whole sets of shingle hashes. Texts are distinct ones (copies
 count once). A band that many texts share is cut into parts; every two parts meet in a group of their own, so a
-group holds at most 2 * ``PART`` texts, and within a group a search that starts from the most typical text compares
+group holds about 2 * ``PART`` texts and 2 * ``SHINGLES`` shingles at most (a longer text is a part of its own), and within a group a search that starts from the most typical text compares
 only what is not connected yet: it makes at most one link a text.
 """
 
@@ -21,6 +21,8 @@ from .common import by_batch, mapped, texts_of, written
 from .perfect_hash import mix
 
 BANDS, ROWS, PART = 8, 3, 4096
+#: Shingles of the texts of a part, about.
+SHINGLES = 2_000_000
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _SALTS = mix(np.arange(BANDS * ROWS, dtype=np.uint64), 5)
 
@@ -84,10 +86,12 @@ def connected(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]
 
 
 def met(texts: DataFrame) -> DataFrame:
-    """node, key, n: the bands that a text shares with others, and how many share them. ``texts``: node, bands."""
-    keyed = texts.select("node", F.explode("bands").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return written(keyed.join(written(counts, "common-bands"), "key"), "bands")
+    """node, key, parts: the bands that a text shares with others, and in how many parts those are compared, by their
+    number and the size of their sets. ``texts``: node, bands, size (shingles). Texts without shingles meet nobody."""
+    keyed = texts.select("node", "size", F.explode("bands").alias("key"))
+    parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / SHINGLES)).cast("int")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1").drop("n")
+    return written(keyed.drop("size").join(written(counts, "common-bands"), "key"), "bands")
 
 
 def sets(texts: DataFrame, wanted: DataFrame, hashes: Callable[[str], np.ndarray]) -> DataFrame:
@@ -108,7 +112,7 @@ def sets(texts: DataFrame, wanted: DataFrame, hashes: Callable[[str], np.ndarray
 
 def links(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``u``, ``v``: spanning links between nodes that share a band (``met``), by their ``sets``."""
-    parts = F.ceil(F.col("n") / PART).cast("int")
+    parts = F.col("parts")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
     dealt = met.withColumn("part", part).select("node", "key", "part", other)
@@ -134,5 +138,3 @@ def links(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     ordered = whole.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return mapped(ordered.select("key", "i", "j", "node", "shingles"), run, "u long, v long")
-
-

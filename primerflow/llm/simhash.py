@@ -14,8 +14,8 @@ three segments in one of these ways, and each way has keys of its own:
 Where a segment has at most one error, the nearest codeword of one word is among the codewords within 4 bits of
 the other (``golay``). A fingerprint is therefore listed once under nearest indices and once under all nearby
 ones, and the two lists are joined by key and verified by their differing bits. Copies count once: only distinct
-fingerprints are keyed. A task keeps a spanning forest of the links it finds, so their number does not grow with
-the square of a group.
+fingerprints are keyed, and a key that many of them share is cut up into blocks against blocks. A task keeps a spanning
+forest of the links it finds, so their number does not grow with the square of a group.
 
 A null text counts as empty, and texts without words have fingerprint zero, linked like any other. A document with
 null doc_id has a component as any other, but doesn't name it. Repeated ids give one row each.
@@ -41,6 +41,8 @@ SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Hashes of a text that are counted at once, and pairs that are verified at once.
 _HASHES, _PAIRS = 65_536, 500_000
+#: Rows that may share a key before it is cut up.
+PART = 8192
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -192,7 +194,22 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
             u, v = forest(*(np.concatenate(c) for c in zip(*found)))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return mapped(keyed(distinct).repartition("key").sortWithinPartitions("key", "side"), run, "u long, v long")
+    return mapped(dealt(keyed(distinct)).repartition("key").sortWithinPartitions("key", "side"), run, "u long, v long")
+
+
+def dealt(keys: DataFrame) -> DataFrame:
+    """``keys`` with those that more than ``PART`` rows share cut up: the two lists of such a key are dealt into parts, and
+    every part of one meets every part of the other under a key of its own, so that no task grows with a key."""
+    keys = written(keys, "keys")
+    crowded = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART), "crowded-keys")
+    if crowded.isEmpty():
+        return keys
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    own, other = F.pmod(F.xxhash64("fingerprint"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
+    many = keys.join(crowded, "key").select("key", "side", "fingerprint", own.alias("own"), other)
+    i, j = (F.when(F.col("side") == s, F.col("own")).otherwise(F.col("other")) for s in (0, 1))
+    many = many.select(F.xxhash64("key", i, j).alias("key"), "side", "fingerprint")
+    return keys.join(crowded, "key", "left_anti").select("key", "side", "fingerprint").unionByName(many)
 
 
 def groups(prints: DataFrame, bits: int = 3) -> DataFrame:
@@ -221,15 +238,16 @@ def deduplicate(docs: DataFrame, words: int = 5, bits: int = 3, similarity: floa
     keyed = row_keys(only(docs, "doc_id", "text")).select("d", "h", F.col("doc_id").isNull().alias("null"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
 
     def marks(batch: pa.RecordBatch) -> dict:
-        prints, keys = [], []
+        prints, keys, size = [], [], []
         for text in texts_of(batch.column(4)):
             hashes = shingle_hashes(text, words)
             prints.append(fingerprint(hashes))
             keys.append(resemblance.bands(hashes) if hashes.size else [])
-        return {n: batch.column(k) for k, n in enumerate(("d", "h", "null", "node"))} | {"fingerprint": prints, "bands": keys}
+            size.append(hashes.size)
+        return {n: batch.column(k) for k, n in enumerate(("d", "h", "null", "node"))} | {"fingerprint": prints, "bands": keys, "size": size}
 
-    slim = written(by_batch(keyed, marks, "d long, h long, null boolean, node long, fingerprint long, bands array<long>"), "near-rows")
-    made = written(slim.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")), "near-texts")
+    slim = written(by_batch(keyed, marks, "d long, h long, null boolean, node long, fingerprint long, bands array<long>, size long"), "near-rows")
+    made = written(slim.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), F.first("size").alias("size")), "near-texts")
     printed = made.groupBy("fingerprint").agg(F.min("node").alias("first"))
     near = links(printed, bits)
     name = lambda c: printed.select(F.col("fingerprint").alias(c), F.col("first").alias(f"{c}_node"))

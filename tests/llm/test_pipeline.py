@@ -54,6 +54,21 @@ def test_rules_reject_what_the_classifier_let_through(spark, tmp_path):
     assert 700 not in kept and len(kept) >= 124
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd, odd_rows, empty, tmp_path):
+    """Nulls, repeated rows and ids, long texts and clashing columns go through all stages; empty tables give no rows."""
+    labels = spark.createDataFrame([(5, 1, 0), (6, 1, 0), (13, 0, 0), (14, 0, 0), (None, 0, 1), (11, None, None), (16, 1, 0), (17, 0, 0)], "doc_id long, quality int, toxic int")
+    for name, docs, marks in (("odd", odd, labels), ("bare", odd, labels.limit(0)), ("empty", empty, labels.limit(0))):
+        at = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{at}/documents.parquet")
+        marks.write.parquet(f"{at}/labels.parquet")
+        rows = corpus_pipeline.run(spark, at).collect()
+        if name == "empty":
+            assert rows == []
+        if name == "bare":  # without labels the base rules alone decide: the long text, plain texts and their near copies stay
+            assert {r.doc_id for r in rows} == {5, 11, 16} and sum(r.length for r in rows if r.doc_id == 11) > 40_000
+        assert {r.doc_id for r in rows} <= {i for i, _ in odd_rows}
+
+
 def test_ten_queries():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
     assert names == list(range(1, 11)) and set(queries.oracle_sql()) <= set(queries.queries())
