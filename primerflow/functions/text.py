@@ -186,8 +186,9 @@ def token_key(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), "[^a-z0-9']", "")
 
 
-_ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+# English number words.
+_ONES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+_TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
 
 
 def _in_words(n: int) -> str:
@@ -298,3 +299,40 @@ def png_size(content: Column) -> Column:
     """struct(width, height) from a PNG header."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
     return F.struct(number(17).alias("width"), number(21).alias("height"))
+
+
+def occurrences(c: Column, pattern: str) -> Column:
+    """How often a pattern occurs."""
+    return F.regexp_count(c, F.lit(pattern))
+
+
+def _table_row(line: Column) -> Column:
+    """A ``|a|b|`` line as a table row, nothing for a rule line, other lines as they are."""
+    cells = F.transform(F.filter(F.split(line, r"\|", -1), lambda x: trim(x) != ""), trim)
+    row = F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))), ""), F.lit("</tr>"))
+    return F.when(~line.rlike(r"^\|.+\|$"), line).when(F.forall(cells, lambda x: x.rlike("^[-:]+$")), "").otherwise(row)
+
+
+def markdown_html(c: Column, resolve=lambda src: src) -> Column:
+    """Markdown notes as HTML, by the passes of the preview (P43): images are set aside and put back at the end, the rest is
+    escaped, then phrases, headings, bold, italics, lists, tables and paragraphs are marked in this order."""
+    image = r"!\[([^\]]*)\]\(([^)]+)\)"
+    tag = lambda i: F.concat(F.lit('<img class="md-img" src="'), escape_html(resolve(F.regexp_extract(i, image, 2))), F.lit('" alt="'), escape_html(F.regexp_extract(i, image, 1)), F.lit('" />'))
+    images = F.transform(F.regexp_extract_all(c, F.lit(image), 0), tag)
+    mark = lambda k: F.concat(F.lit("@@IMG"), k.cast("string"), F.lit("@@"))
+    html = F.array_join(F.transform(F.split(c, image, -1), lambda part, k: F.concat(F.when(k > 0, mark(k - 1)).otherwise(""), part)), "")
+    html = escape_html(html)
+    for pattern, new in (
+        (r"\{([^}]+)\}", '<span class="audio-phrase">$1</span>'), (r"(?m)^### (.+)$", "<h5>$1</h5>"), (r"(?m)^## (.+)$", "<h4>$1</h4>"), (r"\*\*(.+?)\*\*", "<strong>$1</strong>"),
+        (r"\*(.+?)\*", "<em>$1</em>"), (r"(?m)^- (.+)$", "<li>$1</li>"), (r"(<li>.*</li>\n?)+", "<ul>$0</ul>"),
+    ):
+        html = F.regexp_replace(html, pattern, new)
+    html = F.array_join(F.transform(F.split(html, "\n", -1), _table_row), "\n")
+    html = F.regexp_replace(F.regexp_replace(html, r"(<tr>.*</tr>\n?)+", "<table>$0</table>"), r"\n\n+", "</p><p>")
+    html = F.concat(F.lit("<p>"), html, F.lit("</p>"))
+    for pattern, new in (
+        (r"<p>\s*</p>", ""), (r"<p>\s*(<h[45]>)", "$1"), (r"(</h[45]>)\s*</p>", "$1"), (r"<p>\s*(<ul>)", "$1"), (r"(</ul>)\s*</p>", "$1"), (r"<p>\s*(<table>)", "$1"), (r"(</table>)\s*</p>", "$1"),
+    ):
+        html = F.regexp_replace(html, pattern, new)
+    put = F.aggregate(images, F.struct(html.alias("t"), F.lit(0).alias("k")), lambda a, i: F.struct(F.replace(a["t"], mark(a["k"]), i).alias("t"), (a["k"] + 1).alias("k")))
+    return put["t"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -55,3 +55,38 @@ def zipped(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     both = left.join(right, keys)
     same = F.size("a") == F.size("b")
     return both.select(*keys, same.alias("ok"), F.when(same, F.arrays_zip("a", "b")).alias("pairs"))
+
+
+def distinct_union(*names: DataFrame) -> DataFrame:
+    """The distinct rows of several tables."""
+    out = names[0]
+    for more in names[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def unknown_clip_lines(lines: DataFrame, sources: DataFrame) -> DataFrame:
+    """doc, ln, raw of lines with a clip that no line of a source module equals, edges trimmed (J09). The same clip lines
+    recur in many modules, so sources are made distinct first."""
+    clip = F.col("raw").rlike(r"\{[^{}]*\.mp3\s*\}")
+    known = sources.where(clip).select(T.trim(F.col("raw")).alias("line")).distinct()
+    return lines.where(clip).withColumn("line", T.trim(F.col("raw"))).join(known, "line", "left_anti").select("doc", "ln", "raw")
+
+
+def file_tokens(docs: DataFrame) -> DataFrame:
+    """doc, name of every ``{file.ext}`` token of whole texts, repeats included; one with a timing or a space isn't a file."""
+    return docs.select("doc", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\{\s*([^{}@\s]+\.[A-Za-z0-9]+)\s*\}"), 1)).alias("name"))
+
+
+def copy_plan(refs: DataFrame, listing: DataFrame) -> DataFrame:
+    """name, source, target, state: what to copy where, and what is missing (K09). The copying itself is the caller's."""
+    found = listing.groupBy("name").agg(F.min("path").alias("source"))
+    out = refs.select("name").distinct().join(found, "name", "left")
+    folder = F.when(F.col("name").rlike(T.AUDIO), "audio/").otherwise("images/")
+    return out.select("name", "source", F.when(F.col("source").isNotNull(), F.concat(folder, "name")).alias("target"), F.when(F.col("source").isNull(), "missing").otherwise("copied").alias("state"))
+
+
+def first_match(rows: DataFrame, keys: list[str], order: Column, wanted: Column) -> DataFrame:
+    """Of each key the first row in order that is wanted."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.where(wanted).withColumn("__n", first).where("__n = 1").drop("__n")

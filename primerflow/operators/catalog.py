@@ -76,3 +76,37 @@ def prompt_documents(parts: DataFrame, rule: str = "\n\n") -> DataFrame:
     body = F.when(T.or_null(T.trim(F.col("text"))).isNotNull(), F.concat_ws("\n\n", F.concat(F.lit("## "), F.col("title")), F.col("text")))
     rows = F.sort_array(F.collect_list(F.struct("place", body.alias("body"))))["body"]
     return parts.groupBy("doc").agg(F.array_join(F.array_compact(rows), rule).alias("text"))
+
+
+def sided(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str, str] = ("both", "book", "tape")) -> DataFrame:
+    """key, side: keys that both have, and those that only one has (J01, J02, U04). One full join of distinct keys."""
+    a, b = left.select(key, F.lit(True).alias("__a")).distinct(), right.select(key, F.lit(True).alias("__b")).distinct()
+    side = F.when(F.col("__b").isNull(), names[1]).when(F.col("__a").isNull(), names[2]).otherwise(names[0])
+    return a.join(b, key, "full").select(key, side.alias("side"))
+
+
+def with_local(repos: DataFrame, local: DataFrame, name: str = "name") -> DataFrame:
+    """repos with the state of the local copy of their bare name, and whether there is one."""
+    return repos.join(local.withColumn("cloned", F.lit(True)), name, "left").withColumn("cloned", F.coalesce("cloned", F.lit(False)))
+
+
+def lesson_of(manifest: DataFrame, key: str, wanted) -> DataFrame:
+    """The first row of a manifest with that key (S17): a filter that reaches the scan, and one row."""
+    return manifest.where(F.col(key) == wanted).limit(1)
+
+
+def in_code_order(rows: DataFrame, code: str) -> DataFrame:
+    """Rows in the order of their codes' characters, 10A before 2A."""
+    return rows.orderBy(code)
+
+
+def in_number_order(rows: DataFrame, code: str) -> DataFrame:
+    """Rows in the order of the first number of their codes, those without one first, ties by the code."""
+    return rows.orderBy(F.regexp_extract(code, r"(\d+)", 1).cast("long"), code)
+
+
+def places(rows: DataFrame, keys: list[str], code: str) -> DataFrame:
+    """rows with their places in the order of codes and in that of numbers, within their keys."""
+    own = Window.partitionBy(*keys)
+    number = F.regexp_extract(code, r"(\d+)", 1).cast("long")
+    return rows.withColumn("by_code", F.row_number().over(own.orderBy(code))).withColumn("by_number", F.row_number().over(own.orderBy(number, code)))

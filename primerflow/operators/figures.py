@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,19 @@ def lesson_code(file: Column, title: Column, ordinal: Column, story: bool) -> Co
 def public_path(path: Column, file: Column) -> Column:
     """A path if there is one, else images/ and the file's own name."""
     return F.coalesce(F.nullif(path, F.lit("")), F.concat(F.lit("images/"), F.regexp_extract(file, r"([^/]+)$", 1)))
+
+
+def by_page(refs: DataFrame) -> DataFrame:
+    """page, n, idx, panels, caption of image references, a row a page."""
+    return refs.groupBy("page").agg(F.count("*").alias("n"), F.max("idx").alias("idx"), F.sum("panel").alias("panels"), F.min("caption").alias("caption"))
+
+
+def pages_with_images(refs: DataFrame, *keys: str) -> DataFrame:
+    """The distinct pages that have images."""
+    return refs.select(*keys).distinct()
+
+
+def neighbours(pages: DataFrame, keys: list[str], page: str) -> DataFrame:
+    """pages with the one before and the one after in their book."""
+    w = Window.partitionBy(*keys).orderBy(page)
+    return pages.withColumn("before", F.lag(page).over(w)).withColumn("after", F.lead(page).over(w))

@@ -315,6 +315,41 @@ def outline(ctx: DataFrame) -> DataFrame:
     return lessons(ctx).join(acts, ["doc", "lesson_no"], "left")
 
 
+def items_per_activity(ctx: DataFrame) -> DataFrame:
+    """doc, lesson_no, act_no, type, n_items: lines of dialogues, items of exercises, null for the other types."""
+    lines_ = dialogue_lines(ctx).groupBy(*KEY).agg(F.count("*").alias("n"))
+    items = [numbered(ctx, kind).where("item_no > 0").groupBy(*KEY).agg(F.count_distinct("item_no").alias("n")) for kind in ("SELECT", "PRODUCE")]
+    counted = lines_.unionByName(items[0]).unionByName(items[1])
+    n = F.when(F.col("type").isin("DIALOGUE", "SELECT", "PRODUCE"), F.coalesce("n", F.lit(0)))
+    return activities(ctx).join(counted, KEY, "left").select(*KEY, "type", n.alias("n_items"))
+
+
+def with_prompt(items: DataFrame) -> DataFrame:
+    """Items with a prompt or a template; an empty one counts (P17). Lines without text are left out by ``dialogue_lines``."""
+    return items.where("prompt IS NOT NULL OR template IS NOT NULL")
+
+
+def nested(ctx: DataFrame) -> DataFrame:
+    """doc, lessons: the whole module as one value, lines and items in their activities in their lessons, all in order."""
+    said = dialogue_lines(ctx).select(*KEY, F.struct(F.col("line_no").alias("no"), F.col("text").alias("prompt"), F.col("speaker").alias("answer")).alias("item"))
+    select = with_prompt(select_items(numbered(ctx, "SELECT"))).select(*KEY, F.struct(F.col("item_no").alias("no"), "prompt", F.array_join("answer", ",").alias("answer")).alias("item"))
+    produce = with_prompt(produce_items(numbered(ctx, "PRODUCE"))).select(*KEY, F.struct(F.col("item_no").alias("no"), "prompt", F.col("response").alias("answer")).alias("item"))
+    items = said.unionByName(select).unionByName(produce).groupBy(*KEY).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    acts = activities(ctx).join(items, KEY, "left").groupBy("doc", "lesson_no").agg(F.sort_array(F.collect_list(F.struct("act_no", "type", "id", "title", "items"))).alias("activities"))
+    whole = lessons(ctx).join(acts, ["doc", "lesson_no"], "left")
+    return whole.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lesson_no", "id", "title", "activities"))).alias("lessons"))
+
+
+def voice_for(asked: DataFrame, spec: DataFrame) -> DataFrame:
+    """doc, asked, voice of speakers by their name, then by their name in any case, then the default."""
+    speakers = spec.where("slot = 'speaker'")
+    exact = speakers.select("doc", F.col("speaker").alias("asked"), F.col("voice").alias("exact"))
+    loose = speakers.groupBy("doc", F.lower("speaker").alias("key")).agg(F.min_by("voice", "speaker").alias("loose"))
+    default = spec.where("slot = 'default'").select("doc", F.col("voice").alias("usual"))
+    out = asked.join(exact, ["doc", "asked"], "left").withColumn("key", F.lower("asked")).join(loose, ["doc", "key"], "left").join(default, "doc", "left")
+    return out.select("doc", "asked", F.coalesce("exact", "loose", "usual").alias("voice"))
+
+
 def parse_course(docs: DataFrame) -> DataFrame:
     """doc, key, value of ``KEY: value`` files; comments and blanks skipped, the last of a key wins."""
     rows = lines(docs).withColumn("t", T.trim(F.col("raw"))).where("t <> '' AND NOT startswith(t, '#') AND instr(t, ':') > 1")

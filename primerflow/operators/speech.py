@@ -111,8 +111,7 @@ def regroup(lines: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # Phrases that a recording puts before what is asked for.
-_NUMBERS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty"
-CUES = [rf"^(number|item) ({_NUMBERS})\b", r"^repeat\b", r"^(and )?the answers? to number \w+ (is|are)\b", r"^listen to the examples?\b", r"^(this is an? )?example\b", r"^listen\b"]
+CUES = [r"^(number|item) (one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty)\b", r"^repeat\b", r"^(and )?the answers? to number \w+ (is|are)\b", r"^listen to the examples?\b", r"^(this is an? )?example\b", r"^listen\b"]
 
 
 def cue_words(window: Column, line: Column) -> Column:
@@ -128,56 +127,81 @@ def cue_words(window: Column, line: Column) -> Column:
     return F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), F.struct(F.lit(0).alias("n"), window.alias("rest")), skip)["n"]
 
 
-def lcs_table(a: list[str], b: list[str]) -> np.ndarray:
-    """Lengths of the longest common subsequences of all pairs of suffixes, a row of ``a`` at a time: along a row the
-    length is a running maximum, since it can rise by one at most."""
-    names = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
-    y = np.array([names[w] for w in reversed(b)], np.int64)
-    out = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        below = out[i + 1, ::-1]
-        hit = np.where(y == names[a[i]], below[:-1] + 1, below[1:])
-        out[i, ::-1][1:] = np.maximum.accumulate(np.maximum(hit, below[1:]))
-    return out
+class _Rows:
+    """Rows of the table of longest common subsequences of suffixes, as one whole number each: bit k of row i is 1 if the
+    length falls when ``b`` loses the word that is k before its end (``a`` from i on). A row follows from the one
+    below by an addition over all words of ``b`` at once."""
+
+    KEEP = 1 << 26
+
+    def __init__(self, a: list[str], b: list[str]):
+        self.a, self.size, self.full = a, len(b), (1 << len(b)) - 1
+        self.places: dict[str, list[int]] = {}
+        for k, w in enumerate(reversed(b)):
+            self.places.setdefault(w, []).append(k)
+        self.known: dict[str, int] = {}
+        self.room = self.KEEP
+
+    def mask(self, word: str) -> int:
+        """The places of a word in ``b``; those of frequent words are kept, up to ``KEEP`` bytes of them."""
+        at = self.places.get(word)
+        if at is None:
+            return 0
+        if len(at) < 8:
+            return sum(1 << k for k in at)
+        if word not in self.known:
+            flags = np.zeros(self.size, np.uint8)
+            flags[at] = 1
+            found = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+            self.room -= self.size // 8
+            if self.room < 0:
+                return found
+            self.known[word] = found
+        return self.known[word]
+
+    def above(self, i: int, below: int) -> int:
+        """Row i by row i + 1."""
+        rest = self.full ^ below
+        hit = rest & self.mask(self.a[i])
+        return self.full & ~((rest + hit) | (rest - hit))
 
 
 def lcs_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence, from the start; where both ways are as good, ``a`` advances.
 
-    Of the table of ``lcs_table`` about the square root of its rows is held: every ``step``-th row is kept, and the rows
-    between two of them are made again when the way comes to them."""
-    names = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = [names[w] for w in a], np.array([names[w] for w in reversed(b)], np.int64)
-    step = max(1, isqrt(len(a)))
-
-    def above(i: int, below: np.ndarray) -> np.ndarray:
-        """Row ``i`` of the table from its end, by the row below."""
-        row = np.zeros_like(below)
-        np.maximum.accumulate(np.maximum(np.where(y == x[i], below[:-1] + 1, below[1:]), below[1:]), out=row[1:])
-        return row
-
-    row = np.zeros(len(b) + 1, np.int32)
-    kept = {len(a): row}
+    A row takes an eighth of a byte a word of ``b``. About the square root of the rows is held: every ``step``-th is kept,
+    and the rows between two of them are made again when the way comes to them."""
+    table, step = _Rows(a, b), max(1, isqrt(len(a)))
+    row, kept = 0, {len(a): 0}
     for i in range(len(a) - 1, -1, -1):
-        row = above(i, row)
+        row = table.above(i, row)
         if i % step == 0:
             kept[i] = row
     i, j, out = 0, 0, []
+    length = lambda r, j: (r & ((1 << (len(b) - j)) - 1)).bit_count()
     while i < len(a) and j < len(b):
-        first = i
-        last = min(first + step, len(a))
-        rows = [kept.pop(last) if last < len(a) else kept[last]]
+        first, last = i, min(i + step, len(a))
+        rows = [kept[last]]
         for k in range(last - 1, first - 1, -1):
-            rows.append(above(k, rows[-1]))
+            rows.append(table.above(k, rows[-1]))
         rows.reverse()
+        here, below = length(rows[0], j), length(rows[1], j)
         while i < last and j < len(b):
             if a[i] == b[j]:
                 out.append((i, j))
                 i, j = i + 1, j + 1
-            elif rows[i + 1 - first][len(b) - j] >= rows[i - first][len(b) - j - 1]:
+            elif below == here:  # as long without this word of a
                 i += 1
+                if i < last:
+                    here, below = below, length(rows[i + 1 - first], j)
+                continue
             else:
+                at = len(b) - j - 1
+                here, below = here - (rows[i - first] >> at & 1), below - (rows[i + 1 - first] >> at & 1)
                 j += 1
+                continue
+            if i < last:
+                here, below = length(rows[i - first], j), length(rows[i + 1 - first], j)
     return out
 
 

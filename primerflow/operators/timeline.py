@@ -104,3 +104,14 @@ def spread(start: Column, end: Column, place: Column, n: Column) -> Column:
 def chunks(rows: DataFrame, number: str, size: int) -> DataFrame:
     """chunk, first, last of numbers from 1 in chunks of a size."""
     return rows.groupBy(F.floor((F.col(number) - 1) / size).alias("chunk")).agg(F.min(number).alias("first"), F.max(number).alias("last"))
+
+
+def batched(rows: DataFrame, keys: list[str], order: str, size: int = 40) -> DataFrame:
+    """rows with ``batch``: calls of up to ``size`` rows each, in order."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn("batch", F.floor((n - 1) / size))
+
+
+def playable(activities: DataFrame) -> DataFrame:
+    """Activities that have a place on the timeline: notes and chats have none."""
+    return activities.where(~F.col("type").isin("GRAMMAR", "CHAT"))

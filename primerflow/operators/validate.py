@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import assets
+from .lint import lint
+from .module import lines
+
 c = F.col
 
 
@@ -47,3 +51,37 @@ def keyword_scores(answers: DataFrame, truth: DataFrame, keys: list[str]) -> Dat
 def mean_latency(runs: DataFrame) -> DataFrame:
     """model, seconds: mean over the successful runs, 0 without any."""
     return runs.groupBy("model").agg(F.coalesce(F.avg(F.when(c("ok"), c("seconds"))), F.lit(0.0)).alias("seconds"))
+
+
+def slice_faults(docs: DataFrame, existing: DataFrame) -> DataFrame:
+    """doc, fault, n of sliced modules: no title, no language, a timing that was not cut, files that aren't there (n of them)."""
+    t = F.coalesce("text", F.lit(""))
+    rules = [
+        (~t.rlike(r"(?m)^\$MODULE\s+\S"), "missing-title"), (~t.rlike("(?m)^TARGET_LANG_G:"), "missing-target-lang"),
+        (~t.rlike("(?m)^HOME_LANG_G:"), "missing-home-lang"), (t.rlike(r"\{[^{}]*@[\d.]"), "leftover-timing"),
+    ]
+    found = docs.select("doc", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in rules]))).alias("fault"), F.lit(1).cast("long").alias("n"))
+    missing = assets.missing_counts(assets.file_tokens(docs), existing).select("doc", F.lit("missing-files").alias("fault"), "n")
+    return found.unionByName(missing)
+
+
+def staging_faults(docs: DataFrame, sources: DataFrame, existing: DataFrame) -> DataFrame:
+    """doc, gate, n: what keeps modules from being staged: diagnostics (all but a missing document id), clip lines that no
+    source module has, and files that aren't there, each counted once. A module without a row passes."""
+    faults = lint(docs).where("code <> 'missing-dioco-doc-id'").select("doc", F.lit("lint").alias("gate"))
+    drift = assets.unknown_clip_lines(lines(docs), lines(sources)).select("doc", F.lit("clip-text").alias("gate"))
+    lost = assets.file_tokens(docs).distinct().join(existing.select("name"), "name", "left_anti").select("doc", F.lit("files").alias("gate"))
+    return faults.unionByName(drift).unionByName(lost).groupBy("doc", "gate").agg(F.count("*").alias("n"))
+
+
+def run_counters(rows: DataFrame, *keys: str, state: str = "state") -> DataFrame:
+    """keys, total, success, error, skipped, processed of a run's rows, by their ``state`` (A10)."""
+    each = [F.count_if(c(state) == s).alias(s) for s in ("success", "error", "skipped")]
+    return rows.groupBy(*keys).agg(F.count("*").alias("total"), *each, F.count_if(c(state).isin("success", "error", "skipped")).alias("processed"))
+
+
+def report(rows: DataFrame, keys: list[str], order: Column, size: int = 20, text: str | None = None, length: int = 80) -> DataFrame:
+    """The first ``size`` rows of each key, a long text cut to ``length`` characters for the page."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    out = rows.withColumn("place", first).where(c("place") <= size)
+    return out.withColumn(text, F.substring(text, 1, length)) if text else out

@@ -75,11 +75,7 @@ def voice_lookup(spark, d):
     """Speakers of any case to their voice, else the default."""
     spec = M.voices(M.parse(R.declared_voices(spark, d)))
     asked = R.table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("doc"), F.when(F.col("n_nationkey") % 4 == 1, F.concat(F.col("n_name"), F.lit("x"))).otherwise(F.lower("n_name")).alias("asked"))
-    exact = spec.where("slot = 'speaker'").select("doc", F.col("speaker").alias("asked"), F.col("voice").alias("exact"))
-    loose = spec.where("slot = 'speaker'").groupBy("doc", F.lower("speaker").alias("key")).agg(F.min_by("voice", "speaker").alias("loose"))
-    default = spec.where("slot = 'default'").select("doc", F.col("voice").alias("usual"))
-    out = asked.join(exact, ["doc", "asked"], "left").withColumn("key", F.lower("asked")).join(loose, ["doc", "key"], "left").join(default, "doc", "left")
-    return out.select("doc", "asked", F.coalesce("exact", "loose", "usual").alias("voice"))
+    return M.voice_for(asked, spec)
 
 
 def block_ranges(spark, d):
@@ -96,9 +92,8 @@ def lint_codes(spark, d):
 
 
 def lint_rows(spark, d):
-    """The first diagnostic of each document in order."""
-    rows = lint(R.faulty(spark, d)).where("seq = 1")
-    return rows.select("doc", "code", "line")
+    """All diagnostics with their place in the order of their document."""
+    return lint(R.faulty(spark, d)).select("doc", F.col("seq").cast("int").alias("seq"), "code", F.col("line").cast("int").alias("line"))
 
 
 _SAID = """
@@ -126,9 +121,9 @@ SELECT CAST(conv_id AS VARCHAR) AS doc, kind, count(*) AS n FROM k GROUP BY ALL"
     "select_items": f"WITH {_ITEMS} SELECT CAST(o_custkey AS VARCHAR) AS doc, CAST(act_no AS INT) AS act_no, CAST(item_no AS INT) AS item_no, 'Part ' || l_partkey AS prompt, 'It is ____ ' || l_linestatus AS template, 'p' || l_partkey || '.jpg' AS prompt_image, 'c' || l_partkey || '.mp3' AS audio, l_returnflag AS answer, l_linenumber % 4 = 0 AS is_example FROM i",
     "select_answers": f"WITH {_ITEMS} SELECT CAST(o_custkey AS VARCHAR) AS doc, CASE l_returnflag WHEN 'A' THEN 'Accepted' WHEN 'N' THEN 'None' ELSE 'Returned' END AS chosen, CAST(3 AS INT) AS n_options, count(*) AS n FROM i GROUP BY ALL",
     "select_pool": "SELECT id, CAST(pos AS INT) AS pos, text, image, (SELECT count(DISTINCT o_orderkey) FROM orders JOIN lineitem ON o_orderkey = l_orderkey) AS n FROM (VALUES ('A', 1, 'Accepted', NULL), ('N', 2, 'None', 'new.png'), ('R', 3, 'Returned', NULL)) v(id, pos, text, image)",
-    "produce_items": "SELECT CAST(p_size AS VARCHAR) AS doc, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS INT) AS item_no, p_name AS prompt, p_brand AS response, 'r.mp3' AS response_audio, p_type || '/' || p_brand AS accept, 'same brand' AS rubric FROM part",
-    "produce_modes": "SELECT DISTINCT CAST(p_size AS VARCHAR) AS doc, CAST(1 AS INT) AS lesson_no, 'Name the brand' AS title, 'speak' AS input, 'llm' AS check, true AS show_prompt FROM part",
-    "lesson_rows": "SELECT DISTINCT CAST(p_size AS VARCHAR) AS doc, CAST(1 AS INT) AS lesson_no, 'default-lesson' AS id, 'Default Lesson' AS title FROM part",
+    "produce_items": "SELECT CAST(p_partkey // 50 AS VARCHAR) AS doc, CAST(row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) AS INT) AS item_no, p_name AS prompt, p_brand AS response, 'r.mp3' AS response_audio, p_type || '/' || p_brand AS accept, 'same brand' AS rubric FROM part",
+    "produce_modes": "SELECT DISTINCT CAST(p_partkey // 50 AS VARCHAR) AS doc, CAST(1 AS INT) AS lesson_no, 'Name the brand' AS title, 'speak' AS input, 'llm' AS check, true AS show_prompt FROM part",
+    "lesson_rows": "SELECT DISTINCT CAST(p_partkey // 50 AS VARCHAR) AS doc, CAST(1 AS INT) AS lesson_no, 'default-lesson' AS id, 'Default Lesson' AS title FROM part",
     "voice_rows": """
 SELECT CAST(n_regionkey AS VARCHAR) AS doc, 'speaker' AS slot, n_name AS speaker, ['Puck','kore','Zephyr'][n_nationkey % 3 + 1] AS voice, CASE WHEN n_nationkey % 2 = 0 THEN 'calm | slow' END AS prompt FROM nation
 UNION ALL SELECT DISTINCT CAST(n_regionkey AS VARCHAR), 'default', NULL, 'Puck', 'warm' FROM nation""",
@@ -145,9 +140,10 @@ WITH f(k, code, severity) AS (VALUES (0,'missing-title','error'),(1,'format-inva
  (11,'option-format','warning'),(12,'select-missing-answer','warning'),(13,'item-needs-blank-line','warning'),(14,'dup-activity-id','warning'),(15,'example-not-applied','warning'))
 SELECT code, severity, count(*) AS n FROM part JOIN f ON p_partkey % 16 = k GROUP BY ALL""",
     "lint_rows": """
-WITH f(k, code, line) AS (VALUES (0,'missing-title',1),(1,'format-invalid',2),(2,'missing-target-lang',1),(3,'voice-invalid',6),(4,'unknown-header-field',7),(5,'section-indent',10),(6,'speaker-empty-line',12),
- (7,'speaker-undeclared',13),(8,'raw-content',14),(9,'asset-not-trailing',15),(10,'section-colon',17),(11,'option-format',19),(12,'select-missing-answer',20),(13,'item-needs-blank-line',23),(14,'dup-activity-id',26),(15,'example-not-applied',29))
-SELECT CAST(p_partkey AS VARCHAR) AS doc, code, CAST(line AS INT) AS line FROM part JOIN f ON p_partkey % 16 = k""",
+WITH f(k, seq, code, line) AS (VALUES (0,1,'missing-title',1),(1,1,'format-invalid',2),(2,1,'missing-target-lang',1),(3,1,'voice-invalid',6),(4,1,'unknown-header-field',7),(5,1,'section-indent',10),(5,2,'content-outside',10),(6,1,'speaker-empty-line',12),
+ (7,1,'speaker-undeclared',13),(8,1,'raw-content',14),(9,1,'asset-not-trailing',15),(10,1,'section-colon',17),(10,2,'section-format',17),(10,3,'field-unexpected',18),(10,4,'field-unexpected',19),(10,5,'field-unexpected',20),(10,6,'field-unexpected',21),(10,7,'field-unexpected',23),(10,8,'field-unexpected',24),
+ (11,1,'option-format',19),(12,1,'select-missing-answer',20),(13,1,'item-needs-blank-line',23),(14,1,'dup-activity-id',26),(15,1,'example-not-applied',29))
+SELECT CAST(p_partkey AS VARCHAR) AS doc, CAST(seq AS INT) AS seq, code, CAST(line AS INT) AS line FROM part JOIN f ON p_partkey % 16 = k""",
 }
 
 QUERIES = {f.__name__: f for f in (dialogue_counts, dialogue_lines, line_classes, module_counts, module_header, activity_rows, select_items, select_answers, select_pool, produce_items, produce_modes, lesson_rows, voice_rows, voice_lookup, block_ranges, outline, lint_codes, lint_rows)}

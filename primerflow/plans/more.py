@@ -14,7 +14,7 @@ from ..operators.lint import lint, severity_counts
 from ..sources import files, sinks
 from . import render as R
 
-s = lambda c: F.col(c).cast("string")
+s = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
 def linked_images(spark, d):
@@ -110,23 +110,25 @@ def subtitle_faults(spark, d):
 
 def manifests(spark, d):
     """Manifests of orders with their lines in order."""
-    o = R.table(spark, d, "orders").where("o_orderstatus = 'P'")
+    o = R.table(spark, d, "orders")
     li = R.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"))
     segments = li.select(F.col("l_orderkey").alias("lesson"), F.col("l_linenumber").alias("seg_no"), "part")
     return sinks.manifest(o.select(F.col("o_orderkey").alias("lesson"), F.col("o_orderpriority").alias("title")), segments)
 
 
 def split_files(spark, d):
-    """Documents cut into numbered files with the first heading in their name; existing ones left out."""
-    docs = R.table(spark, d, "documents").select(s("doc_id").alias("doc"), F.concat(F.lit("intro\n@@@\n# Part/Two "), s("doc_id"), F.lit("\nx\n@@@\n\n")).alias("text"))
+    """Documents cut after every fifth line into numbered files with the first heading in their name; files that exist,
+    the first of every second document, are left out (K06)."""
+    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x, k: F.when(k % 5 == 4, F.concat(x, F.lit("\n@@@\n# Part/Two"))).otherwise(x)), "\n")
+    docs = R.table(spark, d, "documents").select(s("doc_id").alias("doc"), F.concat(F.lit("intro\n"), marked).alias("text"))
     have = docs.where("doc % 2 = 0").select("doc", F.lit("001.md").alias("name"))
-    return sinks.split_documents(docs, "@@@", have)
+    return sinks.split_documents(docs, "@@@", have).select("doc", "name", F.md5("text").alias("text"))
 
 
 def sliced_drafts(spark, d):
     """Draft lines with folders and timings taken out."""
     k = s("p_partkey")
-    rows = R.table(spark, d, "part").select(s("p_size").alias("doc"), F.col("p_partkey").alias("ln"), F.concat(F.lit("LINE: x {img/p"), k, F.lit(".jpg} {c"), k, F.lit(".mp3@1.25-3}")).alias("raw"))
+    rows = R.table(spark, d, "part").select(s(F.floor(F.col("p_partkey") / 50)).alias("doc"), F.col("p_partkey").alias("ln"), F.concat(F.lit("LINE: x {img/p"), k, F.lit(".jpg} {c"), k, F.lit(".mp3@1.25-3}")).alias("raw"))
     return sinks.sliced(rows).select("doc", F.md5("text").alias("text"))
 
 
@@ -199,9 +201,14 @@ SELECT tape, pos, CASE WHEN b >= e THEN 'order' WHEN prev > b THEN 'not monotoni
     "manifests": """
 WITH l AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS part FROM lineitem GROUP BY ALL),
 g AS (SELECT l_orderkey, string_agg('{"seg_no":' || l_linenumber || ',"part":' || part || '}', ',' ORDER BY l_linenumber) AS j FROM l GROUP BY l_orderkey)
-SELECT o_orderkey AS lesson, '{"fps":30,"width":1920,"height":1080,"lesson":' || o_orderkey || ',"title":"' || o_orderpriority || '"' || coalesce(',"segments":[' || j || ']', '') || '}' AS json FROM orders LEFT JOIN g ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'""",
-    "split_files": "SELECT CAST(doc_id AS VARCHAR) AS doc, '001.md' AS name, 'intro' AS text FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT CAST(doc_id AS VARCHAR), '002 - Part Two ' || doc_id || '.md', '# Part/Two ' || doc_id || chr(10) || 'x' FROM documents",
-    "sliced_drafts": "SELECT CAST(p_size AS VARCHAR) AS doc, md5(string_agg('LINE: x {p' || p_partkey || '.jpg} {c' || p_partkey || '.mp3}', chr(10) ORDER BY p_partkey)) AS text FROM part GROUP BY p_size",
+SELECT o_orderkey AS lesson, '{"fps":30,"width":1920,"height":1080,"lesson":' || o_orderkey || ',"title":"' || o_orderpriority || '"' || coalesce(',"segments":[' || j || ']', '') || '}' AS json FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""",
+    "split_files": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+p AS (SELECT doc_id, (k - 1) // 5 AS part, string_agg(line, chr(10) ORDER BY k) AS t FROM l GROUP BY ALL
+  UNION ALL SELECT doc_id, max(k) // 5, NULL FROM l GROUP BY doc_id HAVING max(k) % 5 = 0),
+q AS (SELECT doc_id, part, CASE WHEN part = 0 THEN 'intro' ELSE '# Part/Two' END || coalesce(chr(10) || t, '') AS t FROM p)
+SELECT CAST(doc_id AS VARCHAR) AS doc, lpad(CAST(part + 1 AS VARCHAR), 3, '0') || CASE WHEN part > 0 THEN ' - Part Two' ELSE '' END || '.md' AS name, md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS text FROM q WHERE part > 0 OR doc_id % 2 = 1""",
+    "sliced_drafts": "SELECT CAST(p_partkey // 50 AS VARCHAR) AS doc, md5(string_agg('LINE: x {p' || p_partkey || '.jpg} {c' || p_partkey || '.mp3}', chr(10) ORDER BY p_partkey)) AS text FROM part GROUP BY p_partkey // 50",
     "lesson_books": "SELECT CAST(o_custkey AS VARCHAR) AS doc, CAST(o_orderkey AS INT) AS fig, o_orderpriority AS instruction, o_orderkey || '.png' AS path, CAST(7 AS INT) AS panel, 'text ' || o_orderkey AS text FROM orders",
     "course_files": "SELECT CAST(n_nationkey AS VARCHAR) AS doc, 'TITLE' AS key, n_name || ': x' AS value FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'TARGET_LANG_G', 'fr' FROM nation",
     "grammar_texts": "SELECT CAST(n_nationkey AS VARCHAR) AS doc, n_name || chr(10) || chr(10) || 'NOTE:y' AS content FROM nation",

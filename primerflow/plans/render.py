@@ -44,12 +44,12 @@ def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def productions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A module per part size: PROMPT name, RESPONSE brand, ACCEPT type and brand."""
-    part = table(spark, sf_dir, "part")
+    """A module per fifty parts: PROMPT name, RESPONSE brand, ACCEPT type and brand."""
+    part = table(spark, sf_dir, "part").withColumn("book", F.floor(F.col("p_partkey") / 50))
     item = joined("", F.concat(F.lit("PROMPT: "), F.col("p_name")), F.concat(F.lit("RESPONSE: "), F.col("p_brand"), F.lit(" {r.mp3@1.5-2.5}")), F.concat(F.lit("ACCEPT: "), F.col("p_type"), F.lit(" | | "), F.col("p_brand")), "RUBRIC: same brand")
-    out = gathered(part, ["p_size"], ["p_partkey"], item, "body")
-    head = joined(F.concat(F.lit("$MODULE Size "), F.col("p_size").cast("string")), *HEAD, "$PRODUCE Name the brand", "INPUT: either", "CHECK: LLM", "SHOW_PROMPT")
-    return out.select(F.col("p_size").cast("string").alias("doc"), joined(head, F.col("body")).alias("text"))
+    out = gathered(part, ["book"], ["p_partkey"], item, "body")
+    head = joined(F.concat(F.lit("$MODULE Parts "), F.col("book").cast("string")), *HEAD, "$PRODUCE Name the brand", "INPUT: either", "CHECK: LLM", "SHOW_PROMPT")
+    return out.select(F.col("book").cast("string").alias("doc"), joined(head, F.col("body")).alias("text"))
 
 
 def declared_voices(spark: SparkSession, sf_dir: str) -> DataFrame:

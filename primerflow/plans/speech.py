@@ -45,7 +45,7 @@ def active_segments(spark, d):
 
 def overlapping_words(spark, d):
     e = _events(spark, d)
-    windows = e.where("event_id % 10 = 0").select("fig", F.col("event_id").alias("win"), "start", (F.col("end") + 5).alias("end"))
+    windows = e.select("fig", F.col("event_id").alias("win"), "start", (F.col("end") + 5).alias("end"))
     return S.overlapping(windows, e, ["fig"])
 
 
@@ -58,7 +58,7 @@ def lit_words(spark, d):
 
 
 def speech_edges(spark, d):
-    e = R.table(spark, d, "events").where("value < 40")
+    e = R.table(spark, d, "events")
     clips = e.select(F.col("event_id").alias("clip"), F.col("value").alias("start"), (F.col("value") + 1).alias("end"))
     part = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("t")) for k, v in (("end", 0.25), ("end", 0.75), ("start", 1.5), ("start", 1.75))]))
     silences = clips.where("clip % 3 <> 0").select("clip", part.alias("s")).select("clip", "s.*")
@@ -192,10 +192,10 @@ WITH {_E}, b AS (SELECT *, CASE WHEN lag(word) OVER w LIKE '%.' OR s - lag(t) OV
 u AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY fig ORDER BY word_no) AS INT) AS utterance FROM b)
 SELECT fig, utterance, {_r("arg_min(s, word_no)")} AS start, {_r("arg_max(t, word_no)")} AS "end", string_agg(word, ' ' ORDER BY word_no) AS text FROM u GROUP BY fig, utterance""",
     "active_segments": f"WITH {_E}, p AS (SELECT * FROM e WHERE event_type = 'error'), g AS (SELECT * FROM e WHERE event_type = 'purchase') SELECT p.fig, p.event_id AS point, g.event_id AS seg FROM p ASOF LEFT JOIN g ON p.fig = g.fig AND p.s >= g.s",
-    "overlapping_words": f"WITH {_E} SELECT x.fig, x.event_id AS win, min(w.word_no) AS lo, max(w.word_no) AS hi FROM e x JOIN e w ON x.fig = w.fig AND w.t > x.s - 0.4 AND w.s < x.t + 5 + 0.4 WHERE x.event_id % 10 = 0 GROUP BY ALL",
+    "overlapping_words": f"WITH {_E} SELECT x.fig, x.event_id AS win, min(w.word_no) AS lo, max(w.word_no) AS hi FROM e x JOIN e w ON x.fig = w.fig AND w.t > x.s - 0.4 AND w.s < x.t + 5 + 0.4 GROUP BY ALL",
     "lit_words": f"WITH {_E} SELECT event_type, count(*) FILTER (s + (t - s) * 0.25 >= s AND s + (t - s) * 0.25 < t AND t > s) AS inside, count(*) FILTER (t >= s) AS closed FROM e GROUP BY ALL",
     "speech_edges": f"""
-WITH c AS (SELECT event_id AS clip, value AS s, value + 1 AS e, greatest(0.0, value - 0.6) AS ws, value + 1.5 AS we FROM events WHERE value < 40),
+WITH c AS (SELECT event_id AS clip, value AS s, value + 1 AS e, greatest(0.0, value - 0.6) AS ws, value + 1.5 AS we FROM events),
 q AS (SELECT *, CASE WHEN clip % 3 = 0 THEN NULL WHEN 0.75 <= s - ws + 0.2 THEN 0.75 WHEN 0.25 <= s - ws + 0.2 THEN 0.25 END AS onset,
   CASE WHEN clip % 3 = 0 THEN NULL WHEN 1.5 > e - ws - 0.05 THEN 1.5 WHEN 1.75 > e - ws - 0.05 THEN 1.75 END AS offs FROM c),
 n AS (SELECT clip, s, e, ws + coalesce(onset, greatest(0.0, s - ws - 0.35)) - 0.04 AS ns, ws + coalesce(offs, we - ws) + 0.04 AS ne FROM q)

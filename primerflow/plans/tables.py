@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import assets as A
 from ..operators import catalog as C
+from ..operators import figures as G
+from ..operators import timeline as L
+from ..sources import sinks as K
 from . import render as R
 
-s = lambda c: F.col(c).cast("string")
+s = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
 def slugs(spark, d):
@@ -56,13 +59,13 @@ def escaped_pages(spark, d):
 
 def link_counts(spark, d):
     """Links and paragraphs of pages."""
-    return R.table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<a href=")).alias("links"), F.regexp_count("html", F.lit("<p[ >]")).alias("paragraphs"))
+    return R.table(spark, d, "pages").select("page_id", T.occurrences(F.col("html"), "<a href=").alias("links"), T.occurrences(F.col("html"), "<p[ >]").alias("paragraphs"))
 
 
 def squeezed(spark, d):
     """Documents with white space squeezed (P20) and the time to read them."""
     text = T.squeeze(F.col("text"))
-    return R.table(spark, d, "documents").select("doc_id", F.md5(text).alias("squeezed"), T.nearest(T.read_seconds(F.substring("text", 1, 60)), 2).alias("seconds"))
+    return R.table(spark, d, "documents").select("doc_id", F.md5(text).alias("squeezed"), T.nearest(T.read_seconds(F.col("text")), 2).alias("seconds"))
 
 
 def sections(spark, d):
@@ -74,17 +77,15 @@ def sections(spark, d):
 
 def image_refs(spark, d):
     """References rendered from line items and read again, by page."""
-    ref = F.concat(F.lit("![[#"), s("l_quantity").substr(1, 2), F.lit(" a part]](images/page_"), s("l_orderkey"), F.lit("_"), s("l_linenumber"), F.lit(".png))"))
-    lines = R.table(spark, d, "lineitem").where("l_quantity >= 10").select(ref.alias("raw"))
+    ref = F.concat(F.lit("![[#"), s(F.col("l_quantity").cast("int")), F.lit(" a part]](images/page_"), s("l_orderkey"), F.lit("_"), s("l_linenumber"), F.lit(".png))"))
+    lines = R.table(spark, d, "lineitem").select(ref.alias("raw"))
     found = lines.select(F.explode(T.image_refs(F.col("raw"))).alias("r")).select("r.*")
-    return found.groupBy("page").agg(F.count("*").alias("n"), F.max("idx").alias("idx"), F.sum("panel").alias("panels"), F.min("caption").alias("caption"))
+    return G.by_page(found)
 
 
 def page_neighbours(spark, d):
     """Pages before and after each page with images, by customer."""
-    pages = R.table(spark, d, "orders").select("o_custkey", "o_orderkey").distinct()
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return pages.select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey").over(w).alias("after"))
+    return G.neighbours(G.pages_with_images(R.table(spark, d, "orders"), "o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
 
 
 def crop_boxes(spark, d):
@@ -176,9 +177,9 @@ def repo_sections(spark, d):
 def repo_status(spark, d):
     """Status of each order's copy: its clone is looked up by bare name."""
     o = R.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("name"))
-    local = R.table(spark, d, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("name"), (F.col("p_partkey") % 3).alias("ahead"), (F.col("p_partkey") % 4).alias("behind"), (F.col("p_partkey") % 5 == 0).alias("changed"), F.lit(True).alias("cloned"))
-    rows = o.join(local, "name", "left")
-    state = C.status(F.coalesce("cloned", F.lit(False)), F.col("ahead"), F.col("behind"), F.col("changed"))
+    local = R.table(spark, d, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("name"), (F.col("p_partkey") % 3).alias("ahead"), (F.col("p_partkey") % 4).alias("behind"), (F.col("p_partkey") % 5 == 0).alias("changed"))
+    rows = C.with_local(o, local)
+    state = C.status(F.col("cloned"), F.col("ahead"), F.col("behind"), F.col("changed"))
     return rows.groupBy(state.alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -189,11 +190,12 @@ def newest_orders(spark, d):
 
 
 def lesson_texts(spark, d):
-    """Documents as the files of a book per source: a heading in every third, back matter from the twentieth on."""
-    docs = R.table(spark, d, "documents")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    files = docs.select(F.col("source").alias("book"), F.row_number().over(w).alias("file"), "text")
-    head = F.when(F.col("file") == 20, "APPENDIX").when(F.col("file") % 3 == 2, F.concat(F.lit("Lesson "), F.col("file").cast("string"), F.lit("A"))).otherwise("plain")
+    """Documents as the files of books, a book for each hundred ids of a source: a heading in every third file, back matter
+    in the last tenth of the files (W02, A05)."""
+    docs = R.table(spark, d, "documents").withColumn("book", F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 100).cast("string")))
+    own = Window.partitionBy("book")
+    files = docs.select("book", F.row_number().over(own.orderBy("doc_id")).alias("file"), F.ceil(F.count("*").over(own) * 0.9).alias("back"), "text")
+    head = F.when(F.col("file") == F.col("back") + 1, "APPENDIX").when(F.col("file") % 3 == 2, F.concat(F.lit("Lesson "), F.col("file").cast("string"), F.lit("A"))).otherwise("plain")
     lines = files.select("book", "file", F.posexplode(F.array(head, F.md5("text"))).alias("ln", "raw"))
     return C.lesson_lines(lines, r"^Lesson (\d+A)$", "^APPENDIX$").select("book", "lesson", "n_lines", F.md5("text").alias("text"))
 
@@ -202,8 +204,7 @@ def book_and_tape(spark, d):
     """Lessons of a book without a tape, and the reverse."""
     book = R.table(spark, d, "part").select((F.col("p_partkey") % 97).alias("code")).distinct()
     tape = R.table(spark, d, "supplier").select((F.col("s_suppkey") % 89 + 20).alias("code")).distinct()
-    both = book.join(tape, "code").select("code", F.lit("both").alias("side"))
-    return both.unionByName(book.join(tape, "code", "left_anti").select("code", F.lit("book").alias("side"))).unionByName(tape.join(book, "code", "left_anti").select("code", F.lit("tape").alias("side")))
+    return C.sided(book, tape, "code")
 
 
 def error_kinds(spark, d):
@@ -214,23 +215,22 @@ def error_kinds(spark, d):
 
 
 def batches(spark, d):
-    """Parts in batches of forty by brand."""
-    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return R.table(spark, d, "part").select("p_brand", F.floor((n - 1) / 40).alias("batch")).groupBy("p_brand", "batch").agg(F.count("*").alias("n"))
+    """Orders of a customer's book in batches of forty: a book for each two hundred customers."""
+    orders = R.table(spark, d, "orders").select(F.floor(F.col("o_custkey") / 200).alias("book"), "o_orderkey")
+    return L.batched(orders, ["book"], "o_orderkey").groupBy("book", "batch").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
 def distinct_names(spark, d):
     """Union of distinct names of suppliers and customers."""
     a = R.table(spark, d, "supplier").select((F.col("s_suppkey") % 50).alias("k"))
-    return a.union(R.table(spark, d, "customer").select((F.col("c_custkey") % 70).alias("k"))).distinct()
+    return A.distinct_union(a, R.table(spark, d, "customer").select((F.col("c_custkey") % 70).alias("k")))
 
 
 def combined_chunks(spark, d):
-    """Chunks of ten turns joined in order, and holes where one has failed."""
-    turns = R.table(spark, d, "conversations").where("turn % 4 <> 3")
-    parts = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    out = turns.groupBy("conv_id").agg(parts.alias("p"), F.max("turn").alias("last"))
-    return out.select("conv_id", F.md5(F.array_join("p.text", "\n---\n")).alias("joined"), (F.col("last") + 1 - F.size(F.array_distinct("p.turn"))).alias("holes"))
+    """Turns of conversations as the chunks of a book, joined in order; every fourth has failed and leaves a hole."""
+    turns = R.table(spark, d, "conversations")
+    chunks = turns.select(F.col("conv_id").alias("book"), F.col("turn").alias("start"), F.when(F.col("turn") % 4 != 3, F.col("text")).alias("text"))
+    return K.combine(chunks).select("book", F.md5("text").alias("joined"), F.array_join("missing", ",").alias("holes"))
 
 
 _SQ = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -248,12 +248,12 @@ SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 AND p_partkey % 3 = 0 THEN p_name
     "spoken_lines": "SELECT p_partkey, p_name || ' at 6:30 or 700, 5 times' AS said, p_name || ' at six thirty or seven o''clock five times' AS words, replace(lower(p_brand), '#', '') AS token FROM part",
     "escaped_pages": """SELECT page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped, 'module/' || page_id || '.png' AS path FROM pages""",
     "link_counts": "SELECT page_id, CAST(len(regexp_extract_all(html, '<a href=')) AS INT) AS links, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INT) AS paragraphs FROM pages",
-    "squeezed": rf"SELECT doc_id, md5({_SQ}) AS squeezed, floor(greatest(2.2, least(1.2 + len(list_filter(string_split(trim(regexp_replace(left(text, 60), '\s+', ' ', 'g')), ' '), lambda x: x <> '')) * 0.32, 8.0)) * 100 + 0.5) / 100 AS seconds FROM documents",
+    "squeezed": rf"SELECT doc_id, md5({_SQ}) AS squeezed, floor(greatest(2.2, least(1.2 + len(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '')) * 0.32, 8.0)) * 100 + 0.5) / 100 AS seconds FROM documents",
     "sections": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 p AS (SELECT doc_id, (k - 1) // 5 AS part, regexp_replace(string_agg(line, chr(10) ORDER BY k), '^\s+|\s+$', '', 'g') AS t FROM l GROUP BY ALL)
 SELECT d.doc_id, CAST(count(part) AS INT) AS n_parts, md5(coalesce(string_agg(t, '|' ORDER BY part), '')) AS parts FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id AND t <> '' GROUP BY d.doc_id""",
-    "image_refs": "SELECT CAST(l_orderkey AS INT) AS page, count(*) AS n, max(l_linenumber) AS idx, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS panels, 'a part' AS caption FROM lineitem WHERE l_quantity >= 10 GROUP BY l_orderkey",
+    "image_refs": "SELECT CAST(l_orderkey AS INT) AS page, count(*) AS n, max(l_linenumber) AS idx, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS panels, 'a part' AS caption FROM lineitem GROUP BY l_orderkey",
     "page_neighbours": "SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
     "crop_boxes": """
 WITH b AS (SELECT p_partkey, p_partkey % 900 AS y0, p_partkey % 700 AS x0, p_partkey % 900 + p_partkey % 101 AS y1, p_partkey % 700 + 50 AS x1 FROM part),
@@ -278,16 +278,17 @@ SELECT CASE WHEN k >= 40 THEN 'remote' WHEN k % 4 > 0 AND k % 5 = 0 THEN 'confli
 FROM (SELECT o_custkey % 50 AS k FROM orders) GROUP BY 1""",
     "newest_orders": "SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS full_name FROM orders ORDER BY o_orderdate DESC, full_name LIMIT 50",
     "lesson_texts": """
-WITH f AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS file, md5(text) AS h FROM documents),
-k AS (SELECT source, file, h, CASE WHEN file % 3 = 2 THEN 'Lesson ' || file || 'A' ELSE 'plain' END AS head, CASE WHEN file % 3 = 2 THEN file WHEN file % 3 = 0 THEN file - 1 ELSE file - 2 END AS lesson FROM f WHERE file < 20 AND file >= 2)
+WITH b AS (SELECT source || '-' || doc_id // 100 AS source, doc_id, text FROM documents),
+f AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS file, ceil(count(*) OVER (PARTITION BY source) * 0.9) AS back, md5(text) AS h FROM b),
+k AS (SELECT source, file, h, CASE WHEN file % 3 = 2 THEN 'Lesson ' || file || 'A' ELSE 'plain' END AS head, CASE WHEN file % 3 = 2 THEN file WHEN file % 3 = 0 THEN file - 1 ELSE file - 2 END AS lesson FROM f WHERE file <= back AND file >= 2)
 SELECT source AS book, lesson || 'A' AS lesson, count(*) * 2 AS n_lines, md5(string_agg(head || chr(10) || h, chr(10) ORDER BY file)) AS text FROM k GROUP BY source, lesson""",
     "book_and_tape": "WITH b AS (SELECT DISTINCT p_partkey % 97 AS code FROM part), t AS (SELECT DISTINCT s_suppkey % 89 + 20 AS code FROM supplier) SELECT coalesce(b.code, t.code) AS code, CASE WHEN t.code IS NULL THEN 'book' WHEN b.code IS NULL THEN 'tape' ELSE 'both' END AS side FROM b FULL JOIN t ON b.code = t.code",
     "error_kinds": """
 SELECT ['rate','network','rate','other','network'][event_id % 5 + 1] AS kind, CAST(event_id % 3 + 1 AS INT) AS attempt, CASE WHEN event_id % 3 < 2 THEN 2.0::DOUBLE * pow(2.0, event_id % 3) END AS seconds, count(*) AS n
 FROM events WHERE event_type = 'error' GROUP BY ALL""",
-    "batches": "SELECT p_brand, CAST((n - 1) // 40 AS BIGINT) AS batch, count(*) AS n FROM (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) GROUP BY ALL",
+    "batches": "SELECT book, CAST((n - 1) // 40 AS BIGINT) AS batch, count(*) AS n, min(o_orderkey) AS first FROM (SELECT CAST(o_custkey // 200 AS BIGINT) AS book, o_orderkey, row_number() OVER (PARTITION BY o_custkey // 200 ORDER BY o_orderkey) AS n FROM orders) GROUP BY book, (n - 1) // 40",
     "distinct_names": "SELECT s_suppkey % 50 AS k FROM supplier UNION SELECT c_custkey % 70 FROM customer",
-    "combined_chunks": "SELECT conv_id, md5(string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn, role, text)) AS joined, max(turn) + 1 - count(DISTINCT turn) AS holes FROM conversations WHERE turn % 4 <> 3 GROUP BY conv_id",
+    "combined_chunks": "SELECT conv_id AS book, md5(coalesce(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn, text) FILTER (turn % 4 <> 3), '')) AS joined, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (turn % 4 = 3), '') AS holes FROM conversations GROUP BY conv_id",
 }
 _FUNCTIONS = (slugs, numbers, peeled_assets, clip_names, spoken_lines, escaped_pages, link_counts, squeezed, sections, image_refs, page_neighbours, crop_boxes, versions, language_counts, model_answers, asset_counts, existing_assets, drifted, untranslated, dictionary, pending_outputs, repo_sections, repo_status, newest_orders, lesson_texts, book_and_tape, error_kinds, batches, distinct_names, combined_chunks)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}

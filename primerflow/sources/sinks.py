@@ -14,9 +14,9 @@ def write_texts(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_with_errors(rows: DataFrame, path: str) -> None:
-    """Rows with ``error`` go beside the others, which they don't stop."""
-    rows.where("error IS NULL").drop("error").write.mode("append").parquet(f"{path}/ok")
-    rows.where("error IS NOT NULL").write.mode("append").parquet(f"{path}/error")
+    """Rows with ``error`` go beside the others, which they don't stop (K03). A path is of one run: a rerun replaces it."""
+    rows.where("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{path}/ok")
+    rows.where("error IS NOT NULL").write.mode("overwrite").parquet(f"{path}/error")
 
 
 def manifest(lessons: DataFrame, segments: DataFrame, fps: int = 30, width: int = 1920, height: int = 1080) -> DataFrame:
@@ -54,3 +54,13 @@ def utterance_texts(utterances: DataFrame, keys: list[str]) -> DataFrame:
     """keys, txt, json of utterances: a line each, and the list."""
     rows = F.sort_array(F.collect_list(F.struct("utterance", "start", "end", "text")))
     return utterances.groupBy(*keys).agg(F.array_join(rows["text"], "\n").alias("txt"), F.to_json(rows).alias("json"))
+
+
+def updated_manifest(segments: DataFrame, done: DataFrame, path: str | None = None, text: str = "en", target: str = "ru") -> DataFrame:
+    """A manifest's segments with the translations that there are now, other fields as they were (K07). With ``path`` the
+    new version is written there: a manifest is never changed under its readers."""
+    new = done.select(F.col("en").alias(text), F.col("other").alias("__new"))
+    out = segments.join(new, text, "left").withColumn(target, F.coalesce(F.nullif("__new", F.lit("")), target)).select(*segments.columns)
+    if path:
+        out.write.mode("errorifexists").parquet(path)
+    return out

@@ -1,7 +1,10 @@
 """Speech, timeline, sources, sinks, validators and streams on small cases."""
 
 import json
+import time
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from primerflow.functions import text as T
@@ -12,6 +15,7 @@ from primerflow.plans import speech
 from primerflow.sources import files, sinks
 from primerflow.sources.module_source import read_modules
 from primerflow.streaming import lint_stream
+from primerflow.streaming.lint_stream import gap_sessions
 from pyspark.sql import functions as F
 
 
@@ -38,7 +42,10 @@ def test_alignment_properties(a, b):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
 def test_alignment_takes_the_way_of_the_whole_table(a, b):
-    table, i, j, want = S.lcs_table(a, b), 0, 0, []
+    table, i, j, want = np.zeros((len(a) + 1, len(b) + 1), int), 0, 0, []
+    for p in range(len(a) - 1, -1, -1):
+        for q in range(len(b) - 1, -1, -1):
+            table[p, q] = table[p + 1, q + 1] + 1 if a[p] == b[q] else max(table[p + 1, q], table[p, q + 1])
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             want.append((i, j))
@@ -50,6 +57,50 @@ def test_alignment_takes_the_way_of_the_whole_table(a, b):
     assert S.lcs_pairs(a, b) == want
 
 
+def test_long_texts_align_in_little_time_and_memory(monkeypatch):
+    a = [f"w{k * k % 977}" for k in range(20_000)]
+    b = [w for k, w in enumerate(a) if k % 5 != 4]
+    began = time.time()
+    pairs = S.lcs_pairs(a, b)
+    assert len(pairs) == len(b) and pairs[0] == (0, 0) and time.time() - began < 30
+    monkeypatch.setattr(S._Rows, "KEEP", 0)
+    assert S.lcs_pairs(a[:500], b[:400]) == S.lcs_pairs(a[:500], b[:400]) and len(S.lcs_pairs(a[:500], b[:400])) == 400
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    """Pauses cut a stream's words into sessions, as they cut a table's."""
+    rows = [("a", 0.0), ("a", 1.0), ("a", 3.0), ("b", 0.5), ("a", 100.0)]
+    words = spark.createDataFrame(rows, "k string, t double").select("k", F.timestamp_seconds("t").alias("at"))
+    words.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(words.schema).parquet(f"{tmp_path}/in")
+    query = gap_sessions(stream, ["k"]).writeStream.format("memory").queryName("gaps").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    closed = {(r.k, r.n) for r in spark.table("gaps").collect()}  # the last one is still open
+    assert closed == {("a", 2), ("a", 1), ("b", 1)} and {(r.k, r.n) for r in gap_sessions(words, ["k"]).collect()} == closed
+
+
+def test_file_sources_and_error_output(spark, tmp_path):
+    """Folders of texts, a missing one, and rows with errors beside the others; a rerun replaces both."""
+    (tmp_path / "books").mkdir()
+    for name in ("b.md", "a.md", "c.txt"):
+        (tmp_path / "books" / name).write_text(f"text of {name}\r\nend")
+    assert sorted((r.doc, r.text) for r in files.texts(spark, str(tmp_path / "books"), "*.md").collect()) == [("a.md", "text of a.md\r\nend"), ("b.md", "text of b.md\r\nend")]
+    assert files.texts(spark, str(tmp_path / "none")).count() == 0 and files.listing(spark, str(tmp_path / "books")).count() == 3
+    rows = spark.createDataFrame([("a", "x", None), ("b", None, "boom")], "doc string, text string, error string")
+    for _ in range(2):
+        sinks.write_with_errors(rows, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/ok")).count() == spark.read.parquet(str(tmp_path / "out/error")).count() == 1
+
+
+def test_manifest_versions_are_new_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "yes", None), (2, "no", "old")], "seg int, en string, ru string")
+    done = spark.createDataFrame([("yes", "da"), ("no", "")], "en string, other string")
+    out = sinks.updated_manifest(rows, done, str(tmp_path / "v2"))
+    assert sorted((r.seg, r.ru) for r in spark.read.parquet(str(tmp_path / "v2")).collect()) == [(1, "da"), (2, "old")] and out.columns == rows.columns
+    with pytest.raises(Exception, match="already exists"):
+        sinks.updated_manifest(rows, done, str(tmp_path / "v2"))
+
+
 def test_whole_texts_are_aligned(spark, tmp_path):
     texts = [(n, " ".join(f"w{k * k % 97}" for k in range(n))) for n in (1, 60, 61, 900)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
