@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from .common import by_batch, only, texts_of, written
 from .labelled import Sample, column_or_null, gather, held_out, labelled
 from .quality_rules import kept_rows
-from .text_model import BITS, Linear, Words, calibrate, fit, in_parts, sums
+from .text_model import BITS, Fit, Linear, Words, calibrate, in_parts, sums
 
 LABELLED, ROUNDS, CERTAIN, GIVEN = 4000, 3, 0.98, 200
+#: Steps of the first fit of a view, and of each later one, which goes on from there.
+FIRST, MORE = 120, 30
 THRESHOLD = 0.5
 PAGE_BITS = 12
 META = ("lang", "source", "n_chars")
@@ -61,11 +63,14 @@ class View:
 
     def __init__(self, row: np.ndarray, place: np.ndarray, value: np.ndarray, size: int):
         self.row, self.place, self.value, self.size = row, place, value, size
+        self.learner: Fit | None = None
 
     def fit(self, y: np.ndarray, weight: np.ndarray, test: np.ndarray, truth: np.ndarray, test_weight: np.ndarray) -> tuple[Linear, np.ndarray]:
-        """The model, and the scores of all rows; ``test`` speaks of the first ones."""
-        use = weight[self.row] > 0
-        w = fit(self.row[use], self.place[use], self.value[use], y, weight, self.size)
+        """The model, and the scores of all rows; ``test`` speaks of the first ones. The first call fits in ``FIRST`` steps;
+        further ones, with the labels that have come since, go on for ``MORE``. Rows without weight pull at nothing."""
+        steps = MORE if self.learner else FIRST
+        self.learner = self.learner or Fit(self.size)
+        w = self.learner.run(self.row, self.place, self.value, y, weight, steps)
         scores = sums(self.row, self.place, self.value, w, y.size)
         return Linear(w, *calibrate(scores[: test.size][test], truth[test], test_weight[test])), scores
 

@@ -24,9 +24,9 @@ from .vocab import ids_of, tokenizer
 
 KEEP, LONGEST = 300_000, 64
 #: Characters of text that are cut at once, and of new stretches that go to the library in one call.
-_TEXT, _CALL = 1_000_000, 200_000
-#: White space for Python, not for the library.
-_CONTROL = re.compile("[\x1c-\x1f]")
+_TEXT, _CALL = 250_000, 60_000
+#: White space for Python beyond that of ASCII.
+_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _kind(spec: dict) -> str:
@@ -61,9 +61,9 @@ class Library:
     def _cut(self, text: str) -> list[str]:
         if self.kind == "units":
             return units(text)
-        if text.isascii() and not _CONTROL.search(text):
-            return text.lower().split()
-        return [w.decode() for w in text.encode().split()]  # of bytes: at ASCII white space only
+        if _WIDE.search(text):
+            return [w.decode() for w in text.encode().split()]  # of bytes: at ASCII white space only
+        return text.lower().split() if text.isascii() else text.split()
 
     def _ask(self, parts: list[str]) -> list[bytes]:
         """What the library says to each of some stretches."""

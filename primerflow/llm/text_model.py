@@ -142,7 +142,7 @@ class Linear:
 
 
 #: Features that are summed at once while fitting.
-_FEATURES = 1 << 20
+_FEATURES = 1 << 16
 
 
 def sums(row: np.ndarray, place: np.ndarray, value: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
@@ -154,21 +154,33 @@ def sums(row: np.ndarray, place: np.ndarray, value: np.ndarray, w: np.ndarray, s
     return z
 
 
-def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int, rounds: int = 120, rate: float = 8.0, shrink: float = 1e-6) -> np.ndarray:
-    """Weights of a logistic regression, by full-batch gradients with per-weight step sizes; no randomness."""
-    w, seen, bias, seen_bias = np.zeros(size), np.full(size, 1e-10), 0.0, 1e-10
-    for _ in range(rounds):
-        z = sums(row, place, value, w, y.size) + bias
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / weight.sum()
-        grad = shrink * w
-        for k in range(0, row.size, _FEATURES):
-            part = slice(k, k + _FEATURES)
-            grad += np.bincount(place[part], g[row[part]] * value[part], minlength=size)
-        seen += grad**2
-        seen_bias += g.sum() ** 2
-        w -= rate * grad / np.sqrt(seen)
-        bias -= 0.1 * g.sum() / np.sqrt(seen_bias)
-    return w
+class Fit:
+    """A logistic regression, by full-batch gradients with per-weight step sizes; no randomness. It can go on with rows that
+    come later: ``rounds`` of a further call start where the last one ended."""
+
+    def __init__(self, size: int, rate: float = 8.0, shrink: float = 1e-6):
+        self.weights, self.seen, self.bias, self.seen_bias = np.zeros(size), np.full(size, 1e-10), 0.0, 1e-10
+        self.rate, self.shrink = rate, shrink
+
+    def run(self, row: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int) -> np.ndarray:
+        w, size = self.weights, self.weights.size
+        for _ in range(rounds):
+            z = sums(row, place, value, w, y.size) + self.bias
+            g = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / weight.sum()
+            grad = self.shrink * w
+            for k in range(0, row.size, _FEATURES):
+                part = slice(k, k + _FEATURES)
+                grad += np.bincount(place[part], g[row[part]] * value[part], minlength=size)
+            self.seen += grad**2
+            self.seen_bias += g.sum() ** 2
+            w -= self.rate * grad / np.sqrt(self.seen)
+            self.bias -= 0.1 * g.sum() / np.sqrt(self.seen_bias)
+        return w.copy()
+
+
+def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int, rounds: int = 120) -> np.ndarray:
+    """Weights of a logistic regression."""
+    return Fit(size).run(row, place, value, y, weight, rounds)
 
 
 def calibrate(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
