@@ -132,6 +132,11 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """UTF-8 of a string column, null as none."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns: further ones, also with names that an operator uses, can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])

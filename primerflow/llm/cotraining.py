@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, only, texts_of, written
+from .common import by_batch, bytes_of, only, written
 from .labelled import Sample, column_or_null, gather, held_out, labelled
 from .quality_rules import kept_rows
-from .text_model import BITS, Fit, Linear, Words, calibrate, in_parts, sums
+from .text_model import BITS, Fit, Linear, Scorer, calibrate, in_parts, sums
 
 LABELLED, ROUNDS, CERTAIN, GIVEN = 4000, 3, 0.98, 200
 #: Steps of the first fit of a view, and of each later one, which goes on from there.
@@ -197,12 +197,16 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, *c
     kinds = dict(docs.dtypes)
     light = Model(Linear(model.text.weights.astype(np.float32), model.text.slope, model.text.shift), model.page, model.mix) if model else None
 
+    scorers: list[Scorer] = []  # made by the task, whose own copy of the list this is
+
     def run(batch: pa.RecordBatch) -> dict:
         out = {"doc_id": batch.column(0)} | {c: batch.column(batch.schema.get_field_index("text" if c == "text" else f"__carried_{k}")) for k, c in enumerate(carried)}
         n = batch.num_rows
         if not light:
             return out | {"p_text": [None] * n, "p_page": [None] * n, "probability": [None] * n, "kept": [True] * n}
-        text = np.concatenate([Words(part).scores(light.text.weights) for _, part in in_parts([t.encode() for t in texts_of(batch.column(1))])])
+        if not scorers:
+            scorers.append(Scorer(light.text.weights))
+        text = np.concatenate([scorers[0].scores(part) for _, part in in_parts(bytes_of(batch.column(1)))])
         memo: dict[tuple, float] = {}
         page = np.zeros(n)
         for k, m in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):

@@ -32,64 +32,70 @@ def _counted(size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
+def _cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, start and size of each word there, number of words of each text, a hash of each word's bytes and places)."""
+    flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    inside = ~_SPACE[flat]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside])))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    first = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    words = np.bincount(np.searchsorted(first, start, side="right") - 1, minlength=len(texts))[: len(texts)]
+    with np.errstate(over="ignore"):
+        term = (_counted(size).astype(np.uint64) << np.uint64(8) | flat[inside]) * _P[0]
+        term = (term ^ (term >> np.uint64(29))) * _P[1]
+        term ^= term >> np.uint64(32)
+        own = np.add.reduceat(term, np.cumsum(size) - size) if size.size else np.zeros(0, np.uint64)
+    return flat, start, size, words, own
+
+
+def _grams(flat: np.ndarray, start: np.ndarray, size: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of some words' own features, and the word that each is of. A space, which no word has, marks word ends."""
+    marked = np.full(int(size.sum()) + size.size + 1, 32, np.uint8)
+    marked[np.arange(int(size.sum())) + np.repeat(np.arange(1, size.size + 1), size)] = flat[np.repeat(start, size) + _counted(size)]
+    flat = np.frombuffer(marked.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+    edge = np.flatnonzero(flat == 32)
+    size = np.diff(edge)
+    owner = np.repeat(np.arange(size.size), size)  # of each place but the last, the mark before a word included
+    room = np.repeat(edge[1:], size) - np.arange(owner.size)
+    places, owners = [], []
+    with np.errstate(over="ignore"):
+        h = np.zeros(flat.size, np.uint64)
+        for n in range(4):
+            h[: flat.size - n] = h[: flat.size - n] * _P[1] + flat[n:] + np.uint64(1) if flat.size > n else 0
+            if n >= 2:
+                ok = np.flatnonzero(room >= n)
+                places.append(_place(h[ok] + _P[2] * np.uint64(n)))
+                owners.append(owner[ok])
+    return np.concatenate([*places, _place(own)]), np.concatenate([*owners, np.arange(size.size)])
+
+
+def _pairs(own: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each pair of neighbouring words, and the text that it is in."""
+    text = np.repeat(np.arange(words.size), words)
+    same = np.flatnonzero(text[:-1] == text[1:]) if text.size else np.zeros(0, np.int64)
+    left, right = own[same], own[same + 1]
+    with np.errstate(over="ignore"):
+        h = left * _P[1] + right * _P[2]
+    h[left == right] = 0
+    return _place(h), text[same]
+
+
+def _per_text(per_word: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Sum over the words of each text."""
+    total, ends = np.concatenate([[0], np.cumsum(per_word)]), np.cumsum(words)
+    return total[ends] - total[ends - words]
+
+
 class Words:
     """The words of some texts, numbered: ``ids`` of all texts in a row, ``ends`` of each text, ``hash`` by number. Equal
     words are found by 64-bit hashes of their bytes and places; no object is made for a word."""
 
     def __init__(self, texts: list[bytes]):
-        flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        inside = ~_SPACE[flat]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside])))
-        start, size = edge[::2], edge[1::2] - edge[::2]
-        first = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
-        self.size = np.bincount(np.searchsorted(first, start, side="right") - 1, minlength=len(texts))[: len(texts)]
+        flat, start, size, self.size, self.own = _cut(texts)
         self.ends = np.cumsum(self.size)
-        with np.errstate(over="ignore"):
-            term = (_counted(size).astype(np.uint64) << np.uint64(8) | flat[inside]) * _P[0]
-            term = (term ^ (term >> np.uint64(29))) * _P[1]
-            term ^= term >> np.uint64(32)
-            own = np.add.reduceat(term, np.cumsum(size) - size) if size.size else np.zeros(0, np.uint64)
-        self.hash, at, self.ids = np.unique(own, return_index=True, return_inverse=True)
-        # the distinct words, a space before each and behind the last
-        start, size = start[at], size[at]
-        self._marked = np.full(int(size.sum()) + size.size + 1, 32, np.uint8)
-        self._marked[np.arange(int(size.sum())) + np.repeat(np.arange(1, size.size + 1), size)] = flat[np.repeat(start, size) + _counted(size)]
-        self._grams()
-
-    def _grams(self) -> None:
-        """Places of each distinct word's own features. A space, which no word has, marks word ends."""
-        flat = np.frombuffer(self._marked.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
-        edge = np.flatnonzero(flat == 32)
-        size = np.diff(edge)
-        owner = np.repeat(np.arange(size.size), size)  # of each place but the last, the mark before a word included
-        room = np.repeat(edge[1:], size) - np.arange(owner.size)
-        places, owners = [], []
-        with np.errstate(over="ignore"):
-            h = np.zeros(flat.size, np.uint64)
-            for n in range(4):
-                h[: flat.size - n] = h[: flat.size - n] * _P[1] + flat[n:] + np.uint64(1) if flat.size > n else 0
-                if n >= 2:
-                    ok = np.flatnonzero(room >= n)
-                    places.append(_place(h[ok] + _P[2] * np.uint64(n)))
-                    owners.append(owner[ok])
-        places.append(_place(self.hash))
-        owners.append(np.arange(size.size))
-        self.places, self.owners = np.concatenate(places), np.concatenate(owners)
-        self.grams = np.bincount(self.owners, minlength=size.size)
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each pair of neighbours, and the text that it is in."""
-        text = np.repeat(np.arange(self.size.size), self.size)
-        same = np.flatnonzero(text[:-1] == text[1:]) if text.size else np.zeros(0, np.int64)
-        with np.errstate(over="ignore"):
-            h = self.hash[self.ids[same]] * _P[1] + self.hash[self.ids[same + 1]] * _P[2]
-        h[self.ids[same] == self.ids[same + 1]] = 0
-        return _place(h), text[same]
-
-    def sums(self, per_word: np.ndarray) -> np.ndarray:
-        """Sum over the words of each text."""
-        total = np.concatenate([[0], np.cumsum(per_word[self.ids])])
-        return total[self.ends] - total[self.ends - self.size]
+        self.hash, at, self.ids = np.unique(self.own, return_index=True, return_inverse=True)
+        self.places, self.owners = _grams(flat, start[at], size[at], self.hash)
+        self.grams = np.bincount(self.owners, minlength=self.hash.size)
 
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, place, share of the text's features), one entry a text and place."""
@@ -98,20 +104,46 @@ class Words:
         text = np.repeat(np.arange(self.size.size), self.size)
         reps = self.grams[self.ids]
         at = np.repeat(first[self.ids] - np.concatenate([[0], np.cumsum(reps)])[:-1], reps) + np.arange(int(reps.sum()))
-        pair, pair_text = self.pairs()
+        pair, pair_text = _pairs(self.own, self.size)
         key = np.concatenate([np.repeat(text, reps), pair_text]) << BITS | np.concatenate([places[at], pair])
         key, n = np.unique(key, return_counts=True)
         row = key >> BITS
         return row, key & (2**BITS - 1), n / np.maximum(1, self.total())[row]
 
     def total(self) -> np.ndarray:
-        return self.sums(self.grams.astype(np.int64)) + np.maximum(0, self.size - 1)
+        return _per_text(self.grams[self.ids], self.size) + np.maximum(0, self.size - 1)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Mean weight over each text's features, 0 without any."""
         own = np.bincount(self.owners, weights[self.places], minlength=self.hash.size)
-        pair, text = self.pairs()
-        return (self.sums(own) + np.bincount(text, weights[pair], minlength=self.size.size)) / np.maximum(1, self.total())
+        pair, text = _pairs(self.own, self.size)
+        return (_per_text(own[self.ids], self.size) + np.bincount(text, weights[pair], minlength=self.size.size)) / np.maximum(1, self.total())
+
+
+class Scorer:
+    """What ``Words.scores`` gives, for many texts and one set of weights: the sum and the number of a word's own features
+    are kept in a slot that its hash names, until another word takes it, so frequent words are worked out once."""
+
+    def __init__(self, weights: np.ndarray, slot_bits: int = 19):
+        self.weights, self.shift = weights, np.uint64(64 - slot_bits)
+        self.key, self.sum, self.n = np.zeros(2**slot_bits, np.uint64), np.zeros(2**slot_bits), np.zeros(2**slot_bits, np.int32)
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        flat, start, size, words, own = _cut(texts)
+        slot = (own >> self.shift).astype(np.int64)
+        total, n = self.sum[slot], self.n[slot].astype(np.int64)
+        new = np.flatnonzero((self.key[slot] != own) | (n == 0))
+        if new.size:
+            word, at, of = np.unique(own[new], return_index=True, return_inverse=True)
+            places, owners = _grams(flat, start[new[at]], size[new[at]], word)
+            sums_, n_ = np.bincount(owners, self.weights[places], minlength=word.size), np.bincount(owners, minlength=word.size)
+            total[new], n[new] = sums_[of], n_[of]
+            slot = (word >> self.shift).astype(np.int64)  # ascending, as the words are; the first of those that share one
+            first = np.flatnonzero(np.diff(slot, prepend=-1))
+            self.key[slot[first]], self.sum[slot[first]], self.n[slot[first]] = word[first], sums_[first], n_[first]
+        pair, text = _pairs(own, words)
+        whole = _per_text(n, words) + np.maximum(0, words - 1)
+        return (_per_text(total, words) + np.bincount(text, self.weights[pair], minlength=words.size)) / np.maximum(1, whole)
 
 
 def in_parts(texts: list[bytes]):

@@ -131,6 +131,16 @@ def test_scores_are_those_of_the_features():
     assert np.allclose(apart, want)
 
 
+@pytest.mark.parametrize("slot_bits", [1, 4, 19])
+def test_kept_word_sums_change_no_score(slot_bits):
+    rng = random.Random(3)
+    texts = [words(rng, n).encode() for n in (0, 1, 2, 300, 40, 40, 5000)] + ["a a a \xe9 \u65e5\u672c\u8a9e \t x".encode(), b"", b" \n ", b"tail"] * 2
+    w = np.random.default_rng(3).normal(size=2**text_model.BITS)
+    scorer = text_model.Scorer(w, slot_bits)
+    for part in (texts, texts[::-1], texts[3:4] * 3, [b""], texts):
+        assert np.array_equal(scorer.scores(part), text_model.Words(part).scores(w))
+
+
 def test_calibration_follows_frequencies():
     rng = np.random.default_rng(2)
     s = rng.normal(size=4000)
