@@ -4,11 +4,16 @@ Two kinds of file let a text be cut without changing its ids, and the cuts are w
 
 * byte-level BPE behind the public pattern, which starts a pre-token at a space that a non-space follows (``units``);
 * BPE with word ends, whose words never hold white space. Normal form C neither joins nor reorders anything across
-  white space, and lower case is taken letter by letter, so stretches between ASCII white space stand alone.
+  white space, and lower case is taken letter by letter, so stretches between ASCII white space stand alone. Nor does a
+  word or what normal form joins go from a letter to an ASCII mark behind it, so marks are cut off ASCII and Latin-1 letters.
 
 Every id comes from the library: new stretches go to it in one text, a special token between every two, at which the
-library itself cuts (a space between words of ASCII letters alone, whose ends the ids show). Stretches that hold the string of a special token, and files of any other kind, go to it as they
-are. What it said is kept for short stretches, up to ``KEEP`` of them in each of two generations, so memory is bounded.
+library itself cuts. Those of lower-case ASCII and Latin-1 letters alone, or of marks alone, are what they are in normal form
+and lower case, and one word each; they go, with spaces, to a copy of the tokenizer without these steps, and the ends of
+words show in the ids. Stretches that hold the string of a special token, and files of any other kind, go to it as they are.
+
+What it said is kept in a table with a slot for each of ``2**SLOT_BITS`` hashes (known by 128 bits, no object for a stretch)
+and a row of up to ``STORE`` ids; when that is full all is forgotten, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -19,14 +24,25 @@ from functools import lru_cache
 
 import numpy as np
 
-from .units import units
 from .vocab import ids_of, tokenizer
 
-KEEP, LONGEST = 300_000, 64
-#: Characters of text that are cut at once, and of new stretches that go to the library in one call.
-_TEXT, _CALL = 250_000, 60_000
-#: White space for Python beyond that of ASCII.
-_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SLOT_BITS, STORE = 21, 1 << 24
+#: Bytes of text that are cut at once, about.
+_TEXT = 250_000
+#: A place at which a long text may be cut for either kind.
+_SAFE = re.compile(" (?=[A-Za-z])")
+#: Marks that are cut off letters, and stretches that normal form and lower case leave alone and that are one word.
+_MARKS = ",.;:!?%$#*&"
+_PLAIN = re.compile(f"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[{_MARKS}]+")
+_BYTES = np.arange(256)
+_IS_MARK = np.isin(_BYTES, [ord(c) for c in _MARKS])
+_IS_LETTER = (_BYTES | 32 >= ord("a")) & (_BYTES | 32 <= ord("z"))
+#: Second bytes of Latin-1 letters, which follow 0xC3.
+_IS_SECOND = (_BYTES >= 0x80) & (_BYTES < 0xC0) & ~np.isin(_BYTES, [0x97, 0xB7])
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes that may not follow a space where a unit starts: white space, and first bytes of white space beyond ASCII.
+_NO_START = _SPACE | np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def _kind(spec: dict) -> str:
@@ -44,6 +60,30 @@ def _kind(spec: dict) -> str:
     return ""
 
 
+def _hashes(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each of some stretches that follow one another in ``flat``."""
+    if not size.size:
+        return np.zeros((2, 0), np.uint64)
+    first = np.cumsum(size) - size
+    with np.errstate(over="ignore"):
+        term = (np.arange(1, flat.size + 1) - np.repeat(first, size)).astype(np.uint64) << np.uint64(8)
+        term = (term | flat) * _MIX[0]
+        term = (term ^ (term >> np.uint64(29))) * _MIX[1]
+        term ^= term >> np.uint64(32)
+        other = term * _MIX[2]
+        other ^= other >> np.uint64(31)
+        return np.stack([np.add.reduceat(term, first), np.add.reduceat(other, first)])
+
+
+def _slices(text: str) -> list[str]:
+    """A long text in parts whose ids are those of the whole."""
+    out, at = [], 0
+    while len(text) - at > 2 * _TEXT and (cut := _SAFE.search(text, at + _TEXT)):
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
 class Library:
     def __init__(self, path: str):
         tokenizer(path)
@@ -52,82 +92,133 @@ class Library:
         self.path, self.kind = path, _kind(spec)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.mark, self.mark_id = (self.special[0], spec["added_tokens"][0]["id"]) if self.kind else ("", -1)
-        if self.kind == "words":  # an ASCII word is one word of the library, and its last id alone ends a word
-            self.ends = np.zeros(tokenizer(path).get_vocab_size(with_added_tokens=True), bool)
+        most = tokenizer(path).get_vocab_size(with_added_tokens=True)
+        if self.kind == "words":  # the last id of a word alone ends one
+            self.ends = np.zeros(most, bool)
             self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _cut(self, text: str) -> list[str]:
-        if self.kind == "units":
-            return units(text)
-        if _WIDE.search(text):
-            return [w.decode() for w in text.encode().split()]  # of bytes: at ASCII white space only
-        return text.lower().split() if text.isascii() else text.split()
-
-    def _ask(self, parts: list[str]) -> list[bytes]:
-        """What the library says to each of some stretches."""
+            self.plain = _without_steps(path)
+        self.key, self.n = np.zeros((2, 2**SLOT_BITS), np.uint64), np.zeros(2**SLOT_BITS, np.int32)  # no ids: a free slot
+        self.at, self.used = np.zeros(2**SLOT_BITS, np.int32), 0
+        self.store = np.zeros(STORE, np.uint16 if most <= 2**16 else np.uint32)
+
+    def _cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(all bytes, start and size of each stretch, number of stretches of each text, hashes of the stretches)."""
+        between = b" " if self.kind == "words" else b""
+        raw = between.join(texts) + between
+        flat = np.frombuffer(raw, np.uint8)
+        first = np.cumsum([0, *[len(t) + len(between) for t in texts]])
+        if between:
+            inside = np.append(~_SPACE[flat], False)
+            opens = inside.copy()
+            opens[1:] &= ~inside[:-1]
+            letter = _IS_LETTER[flat]
+            letter[1:] |= _IS_SECOND[flat[1:]] & (flat[:-1] == 0xC3)
+            opens[1:-1] |= _IS_MARK[flat[1:]] & letter[:-1]
+            closes = inside[:-1] & (opens[1:] | ~inside[1:])
+            start, size = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+            size, flat = size - start, flat[inside[:-1]]
+        else:
+            opens = np.zeros(flat.size + 1, bool)
+            opens[:-2] = (flat[:-1] == 32) & ~_NO_START[flat[1:]]
+            opens[np.maximum(first - 1, 0)] = False  # a space that ends a text starts nothing
+            opens[first] = True
+            start = np.flatnonzero(opens)
+            start, size = start[:-1], np.diff(start)
+        number = np.bincount(np.searchsorted(first, start, side="right") - 1, minlength=len(texts))[: len(texts)]
+        return raw, start, size, number, _hashes(flat, size)
+
+    def _ask(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What the library says to each of some stretches: all ids in a row, and how many each has."""
         out = [b""] * len(parts)
-        alone, words, others = [], [], []
+        plain, alone, others = [], [], []
         for k, p in enumerate(parts):
-            if any(s in p for s in self.special):
-                alone.append(k)
-            elif self.kind == "words" and p.isascii() and p.isalpha():
-                words.append(k)
+            if self.kind == "words" and _PLAIN.fullmatch(p):
+                plain.append(k)
             else:
-                others.append(k)
+                (alone if any(s in p for s in self.special) else others).append(k)
         for k, ids in zip(alone, ids_of(self.path, [parts[k] for k in alone]) if alone else []):
             out[k] = np.array(ids, "<u4").tobytes()
-        for chosen, between in ((others, self.mark), (words, " ")):
-            if chosen:
-                ids = np.array(ids_of(self.path, [between.join([parts[k] for k in chosen])])[0], "<u4")
-                cuts = np.flatnonzero(ids == self.mark_id if between == self.mark else self.ends[ids])
-                starts = np.append(0, cuts + 1).tolist()
-                ends = (np.append(cuts, ids.size) if between == self.mark else cuts + 1).tolist()
-                packed = ids.tobytes()
-                for k, a, b in zip(chosen, starts, ends):
-                    out[k] = packed[4 * a : 4 * b]
-        return out
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Keeps what short stretches give; returns the long ones."""
-        long: dict[str, bytes] = {}
-        start = size = 0
-        for k, part in enumerate([*new, None]):
-            if part is None or size >= _CALL:
-                for p, ids in zip(new[start:k], self._ask(new[start:k]) if k > start else []):
-                    (self.young if len(p) <= LONGEST else long)[p] = ids
-                start, size = k, 0
-            size += len(part or "")
-        return long
+        if others:
+            ids = np.array(ids_of(self.path, [self.mark.join([parts[k] for k in others])])[0], "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            _deal(out, others, ids, np.append(0, cuts + 1), np.append(cuts, ids.size))
+        if plain:
+            ids = np.array(self.plain.encode_batch_fast([" ".join([parts[k] for k in plain])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            _deal(out, plain, ids, np.append(0, ends[:-1]), ends)
+        return np.frombuffer(b"".join(out), "<u4"), np.array([len(x) // 4 for x in out], np.int64)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.kind:
             return [np.array(x, "<u4").tobytes() for x in ids_of(self.path, texts)]
-        out: list[bytes] = []
+        cut = [_slices(t) for t in texts]
+        flat = [part for parts in cut for part in parts]
+        made: list[bytes] = []
         start = size = 0
-        for k, text in enumerate([*texts, None]):
-            if text is None or size >= _TEXT:
-                out += self._some(texts[start:k])
+        for k, part in enumerate([*flat, None]):
+            if part is None or size >= _TEXT:
+                made += self._some(flat[start:k])
                 start, size = k, 0
-            size += len(text or "")
-        return out
+            size += len(part or "")
+        ends = np.cumsum([len(parts) for parts in cut]).tolist()
+        return [made[e - 1] if len(parts) == 1 else b"".join(made[e - len(parts) : e]) for e, parts in zip(ends, cut)]
+
+    def _lower(self, text: bytes) -> bytes:
+        """An ASCII text in lower case, unless that would make the string of a special token."""
+        low = text.lower()
+        return text if any(s.encode() in low for s in self.special) else low
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        wanted = set().union(*cut) - self.young.keys()
-        again = wanted & self.old.keys()
-        self.young.update((u, self.old[u]) for u in again)
-        long = self._learn(sorted(wanted - again))
-        if long:
-            of = lambda u: long[u] if u in long else self.young[u]
-            out = [b"".join(map(of, c)) for c in cut]
-        else:
-            out = [b"".join(map(self.young.__getitem__, c)) for c in cut]
-        if len(self.young) > KEEP:
-            self.young, self.old = {}, self.young
-        return out
+        coded = [t.encode() for t in texts]
+        if self.kind == "words":
+            coded = [self._lower(t) if t.isascii() else t for t in coded]
+        raw, start, size, number, key = self._cut(coded)
+        slot = (key[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        n, at, source, full = self.n[slot].astype(np.int64), self.at[slot].astype(np.int64), self.store, False
+        new = np.flatnonzero((n == 0) | (self.key[0][slot] != key[0]) | (self.key[1][slot] != key[1]))
+        if new.size:
+            _, first, of = np.unique(key[0][new], return_index=True, return_inverse=True)
+            unlike = np.flatnonzero(key[1][new] != key[1][new[first]][of])  # each of these on its own
+            of[unlike] = first.size + np.arange(unlike.size)
+            chosen = new[np.append(first, unlike)]
+            ids, counts = self._ask([raw[a : a + s].decode() for a, s in zip(start[chosen].tolist(), size[chosen].tolist())])
+            places = self.used + np.cumsum(counts) - counts
+            full = self.used + ids.size > self.store.size
+            if full:
+                source = np.concatenate([self.store[: self.used], ids])
+            else:
+                self.store[self.used : self.used + ids.size] = ids
+                self.used += ids.size
+                taken, last = np.unique(slot[chosen], return_index=True)
+                self.key[:, taken], self.n[taken], self.at[taken] = key[:, chosen[last]], counts[last], places[last]
+            n[new], at[new] = counts[of], places[of]
+        if full:
+            self.n[:], self.used = 0, 0
+        ends = np.cumsum(n)
+        out = source[np.repeat(at - (ends - n), n) + np.arange(int(n.sum()))].astype("<u4").tobytes()
+        bounds = 4 * np.append(0, ends)[np.append(0, np.cumsum(number))]
+        return [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def _deal(out: list[bytes], chosen: list[int], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    """Gives each chosen stretch its part of ``ids``."""
+    packed = ids.tobytes()
+    for k, a, b in zip(chosen, starts.tolist(), ends.tolist()):
+        out[k] = packed[4 * a : 4 * b]
+
+
+def _without_steps(path: str):
+    """The tokenizer of a "words" file for words between spaces that its normal form, lower case and pattern leave alone."""
+    from tokenizers import Tokenizer
+    from tokenizers import pre_tokenizers as pre
+
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    out.normalizer = None
+    out.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
 
 
 @lru_cache(maxsize=4)

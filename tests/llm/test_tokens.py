@@ -48,18 +48,32 @@ def test_every_code_point_with_every_kind_of_neighbour():
         assert library(path).packed(texts) == [np.array(x, "<u4").tobytes() for x in ids_of(path, texts)]
 
 
-def test_what_the_library_said_is_forgotten_in_turn(monkeypatch):
+@pytest.mark.parametrize("slot_bits, store", [(1, 12), (3, 40), (12, 1000)])
+def test_what_the_library_said_is_forgotten_in_turn(monkeypatch, slot_bits, store):
     from primerflow.llm import library as module
 
-    monkeypatch.setattr(module, "KEEP", 3)
-    monkeypatch.setattr(module, "LONGEST", 6)
+    monkeypatch.setattr(module, "SLOT_BITS", slot_bits)
+    monkeypatch.setattr(module, "STORE", store)
     monkeypatch.setattr(module, "_TEXT", 20)
-    monkeypatch.setattr(module, "_CALL", 5)
-    texts = ["one two three four", "two three fivefivefive", "", "one <|endoftext|> six", "four one"] * 3
+    texts = ["one two three four", "two three fivefivefive", "", "one <|endoftext|> six", "four one", " ", "x ", " x", "a  b\n c " * 9, "ONE <|ENDOFTEXT|> Two, \u00e9t\u00e9!! \u00c9T\u00c9 l'\u00e9t\u00e9's,"] * 3
     for path in (BYTES, WORDS):
         one = module.Library(path)
         assert [np.frombuffer(x, "<u4").tolist() for x in one.packed(texts)] == [ids(path, t) for t in texts]
-        assert len(one.young) + len(one.old) < 20 and all(len(u) <= 6 for u in [*one.young, *one.old])
+        assert one.used <= store and one.n.size == 2**slot_bits
+
+
+def test_long_texts_are_cut_where_their_ids_allow():
+    text = "Word, w\u00f6rter \u4e2d\u6587  <|endoftext|> don't 12\n" * 20_000
+    for path in (BYTES, WORDS):
+        for t in (text, text.replace(" ", "\t"), "\u4e2d" * 600_000):
+            assert library(path).packed([t, "tail"]) == [np.array(x, "<u4").tobytes() for x in ids_of(path, [t, "tail"])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab\u00df\u00e9\u00ff\u00d7\u00f7\u00f8\u0301 ,.!%&*<|>'sI\u0130"), max_size=30), max_size=5))
+def test_marks_behind_letters(texts):
+    for path in (BYTES, WORDS):
+        assert [np.frombuffer(x, "<u4").tolist() for x in library(path).packed(texts)] == [ids(path, t) for t in texts]
 
 
 @settings(max_examples=300, deadline=None)
