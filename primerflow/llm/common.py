@@ -19,8 +19,14 @@ except (OSError, AttributeError):  # another C library: memory is as it comes th
     _LIBC = None
 
 
+#: What modules do to drop what they keep for a task.
+AT_END: list[Callable[[], None]] = []
+
+
 def release() -> None:
-    """Gives freed memory back to the system: Python workers live as long as their executor."""
+    """Drops what was kept for a task and gives freed memory back to the system: Python workers live as long as their executor."""
+    for drop in AT_END:
+        drop()
     pa.default_memory_pool().release_unused()
     if _LIBC:
         _LIBC.malloc_trim(0)

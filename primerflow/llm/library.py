@@ -13,7 +13,8 @@ and lower case, and one word each; they go, with spaces, to a copy of the tokeni
 words show in the ids. Stretches that hold the string of a special token, and files of any other kind, go to it as they are.
 
 What it said is kept in a table with a slot for each of ``2**SLOT_BITS`` hashes (known by 128 bits, no object for a stretch)
-and a row of up to ``STORE`` ids; when that is full all is forgotten, so memory is bounded.
+and a row of up to ``STORE`` ids; when that is full all is forgotten, so memory is bounded. A task takes
+its table and tokenizers along when it ends: later stages need the memory.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import AT_END
 from .vocab import ids_of, tokenizer
 
 SLOT_BITS, STORE = 21, 1 << 24
@@ -224,3 +226,6 @@ def _without_steps(path: str):
 @lru_cache(maxsize=4)
 def library(path: str) -> Library:
     return Library(path)
+
+
+AT_END += [library.cache_clear, tokenizer.cache_clear]
