@@ -26,7 +26,7 @@ import numpy as np
 
 from .vocab import ids_of, tokenizer
 
-SLOT_BITS, STORE = 21, 1 << 24
+SLOT_BITS, STORE = 20, 1 << 22
 #: Bytes of text that are cut at once, about.
 _TEXT = 250_000
 #: A place at which a long text may be cut for either kind.
