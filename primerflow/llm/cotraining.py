@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import by_batch, bytes_of, only, written
 from .labelled import Sample, column_or_null, gather, held_out, labelled
 from .quality_rules import kept_rows
-from .text_model import BITS, Fit, Linear, Scorer, calibrate, in_parts, sums
+from .text_model import BITS, Fit, Linear, Parts, Scorer, calibrate, in_parts, sums
 
 LABELLED, ROUNDS, CERTAIN, GIVEN = 4000, 3, 0.98, 200
 #: Steps of the first fit of a view, and of each later one, which goes on from there.
@@ -59,10 +59,11 @@ class Model:
 
 
 class View:
-    """One view's features of all sample rows."""
+    """One view's features of all sample rows, in the arrays that they came in: those of the sample are not copied."""
 
     def __init__(self, row: np.ndarray, place: np.ndarray, value: np.ndarray, size: int):
-        self.row, self.place, self.value, self.size = row, place, value, size
+        self.parts: Parts = [(row, place, value)]
+        self.size = size
         self.learner: Fit | None = None
 
     def fit(self, y: np.ndarray, weight: np.ndarray, test: np.ndarray, truth: np.ndarray, test_weight: np.ndarray) -> tuple[Linear, np.ndarray]:
@@ -70,15 +71,13 @@ class View:
         further ones, with the labels that have come since, go on for ``MORE``. Rows without weight pull at nothing."""
         steps = MORE if self.learner else FIRST
         self.learner = self.learner or Fit(self.size)
-        w = self.learner.run(self.row, self.place, self.value, y, weight, steps)
-        scores = sums(self.row, self.place, self.value, w, y.size)
+        w = self.learner.run_parts(self.parts, y, weight, steps)
+        scores = sum(sums(*p, w, y.size) for p in self.parts)
         return Linear(w, *calibrate(scores[: test.size][test], truth[test], test_weight[test])), scores
 
     def add(self, first: int, row: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
         """Further rows, numbered from ``first``."""
-        self.row = np.concatenate([self.row, (row + first).astype(self.row.dtype)])
-        self.place = np.concatenate([self.place, place.astype(self.place.dtype)])
-        self.value = np.concatenate([self.value, value.astype(self.value.dtype)])
+        self.parts.append((row.astype(np.int32) + first, place, value))
 
 
 @dataclass

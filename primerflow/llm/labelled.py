@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, only, texts_of, written
+from .common import by_batch, only, release, texts_of, written
 from .text_model import Words, in_parts
 
 
@@ -64,23 +64,27 @@ def gather(docs: DataFrame, chosen: DataFrame, *columns: str) -> Sample:
 
     schema = "doc_id long, place binary, value binary" + "".join(f", `{c}` {kinds[c]}" for c in columns)
     made = written(by_batch(joined, run, schema), "features")
-    size = {r["doc_id"]: r["n"] for r in made.groupBy("doc_id").agg(F.min(F.length("place")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()}
-    fits = np.array(list(size))[np.cumsum([0, *list(size.values())])[:-1] < 4 * FEATURES] if size else np.zeros(0, np.int64)
-    ids, row, place, value, extra = [], [], [], [], {c: [] for c in columns}
+    size = made.groupBy("doc_id").agg(F.min(F.length("place")).alias("n"), F.max(F.length("place")).alias("most")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    taken = np.cumsum([0, *[r["n"] for r in size]])[:-1] < 4 * FEATURES
+    fits = np.array([r["doc_id"] for r in size], np.int64)[taken]
+    room = sum(r["most"] // 4 for r, t in zip(size, taken) if t)
+    # filled in place: the driver holds the sample once
+    row, place, value = np.empty(room, np.uint16 if fits.size <= 2**16 else np.int32), np.empty(room, np.int32), np.empty(room, np.float32)
+    ids, extra, end = [], {c: [] for c in columns}, 0
     for part in np.array_split(np.sort(fits), _PARTS):
         rows = made.where(F.col("doc_id").isin(part.tolist())).collect() if part.size else []
         last = None
         for r in sorted(rows, key=lambda r: (r["doc_id"], r["place"], r["value"])):
             if r["doc_id"] != last:
                 last = r["doc_id"]
-                row.append(np.full(len(r["place"]) // 4, len(ids), np.int32))
-                place.append(np.frombuffer(r["place"], "<i4").copy())
-                value.append(np.frombuffer(r["value"], "<f4").copy())
+                at = slice(end, end := end + len(r["place"]) // 4)
+                row[at], place[at], value[at] = len(ids), np.frombuffer(r["place"], "<i4"), np.frombuffer(r["value"], "<f4")
                 ids.append(last)
                 for c in columns:
                     extra[c].append(r[c])
-    flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    return Sample(np.array(ids, np.int64), flat(row, np.int32), flat(place, np.int32), flat(value, np.float32), extra)
+        del rows
+        release()
+    return Sample(np.array(ids, np.int64), row[:end], place[:end], value[:end], extra)
 
 
 def held_out(ids: np.ndarray, salt: int = 0, share: int = 5) -> np.ndarray:

@@ -39,8 +39,7 @@ def fit_sample(sample: Sample, y: np.ndarray, weight: np.ndarray) -> Linear | No
     out = held_out(sample.ids)
     if not (0 < y[out].sum() < out.sum() and 0 < y[~out].sum() < (~out).sum()):
         out[:] = False
-    use = ~out[sample.row]
-    weights = fit(sample.row[use], sample.place[use], sample.value[use], y, np.where(out, 0, weight), 2**BITS)
+    weights = fit(sample.row, sample.place, sample.value, y, np.where(out, 0, weight), 2**BITS)  # rows without weight pull at nothing
     scores = sums(sample.row, sample.place, sample.value, weights, y.size)
     test = out if out.any() else ~out
     return Linear(weights.astype(np.float32).astype(float), *calibrate(scores[test], y[test], weight[test]))

@@ -175,6 +175,8 @@ class Linear:
 
 #: Features that are summed at once while fitting.
 _FEATURES = 1 << 16
+#: (row, place, value) of features, some arrays each.
+Parts = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def sums(row: np.ndarray, place: np.ndarray, value: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
@@ -195,14 +197,19 @@ class Fit:
         self.rate, self.shrink = rate, shrink
 
     def run(self, row: np.ndarray, place: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int) -> np.ndarray:
+        return self.run_parts([(row, place, value)], y, weight, rounds)
+
+    def run_parts(self, parts: Parts, y: np.ndarray, weight: np.ndarray, rounds: int) -> np.ndarray:
+        """``run`` on features in several arrays, which are never joined."""
         w, size = self.weights, self.weights.size
         for _ in range(rounds):
-            z = sums(row, place, value, w, y.size) + self.bias
+            z = sum(sums(*p, w, y.size) for p in parts) + self.bias
             g = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / weight.sum()
             grad = self.shrink * w
-            for k in range(0, row.size, _FEATURES):
-                part = slice(k, k + _FEATURES)
-                grad += np.bincount(place[part], g[row[part]] * value[part], minlength=size)
+            for row, place, value in parts:
+                for k in range(0, row.size, _FEATURES):
+                    part = slice(k, k + _FEATURES)
+                    grad += np.bincount(place[part], g[row[part]] * value[part], minlength=size)
             self.seen += grad**2
             self.seen_bias += g.sum() ** 2
             w -= self.rate * grad / np.sqrt(self.seen)

@@ -113,6 +113,30 @@ def test_a_sample_is_bounded_by_features(spark, monkeypatch):
     assert 8 <= some.ids.size <= 12 and set(some.extra["quality"]) == {1}
 
 
+def test_the_driver_holds_a_sample_once(monkeypatch):
+    """Fitting on four fifths, and adding rows that come later, copy no features."""
+    import tracemalloc
+
+    n, each = 400, 10_000
+    rng = np.random.default_rng(0)
+    sample = labelled_rows.Sample(np.arange(n), np.repeat(np.arange(n, dtype=np.uint16), each), rng.integers(0, 2**18, n * each).astype(np.int32), np.full(n * each, 1 / each, np.float32), {"lang": ["en"] * n, "source": ["s"] * n, "n_chars": [1] * n})
+    y, weight = (np.arange(n) % 2).astype(float), np.ones(n)
+    whole = sum(x.nbytes for x in (sample.row, sample.place, sample.value))
+    monkeypatch.setattr(cotraining, "FIRST", 1)
+    monkeypatch.setattr(cotraining, "MORE", 1)
+    monkeypatch.setattr(quality_rules, "fit", lambda *a: text_model.fit(*a, rounds=1))
+
+    def found(models, taken):
+        return {} if taken[0] else {0: cotraining.Found([n], np.array([1.0]), np.zeros(9, np.uint16), np.arange(9, dtype=np.int32), np.full(9, 1 / 9, np.float32))}
+
+    for run in (lambda: quality_rules.fit_sample(sample, y, weight), lambda: cotraining.teach(sample, np.ones(n, bool), y, weight, search=found)):
+        tracemalloc.start()
+        assert run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < whole / 2
+
+
 def test_character_grams_are_of_characters():
     """Two words of two-byte letters share their runs of three letters, and no others."""
     one, two = (set(text_model.Words([t.encode()]).features()[1].tolist()) for t in ("жбcжab", "xжбcжy"))
