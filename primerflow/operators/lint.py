@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .module import ACTIVITIES, lines
+from .module import ACTIVITIES, by_document, lines
 
 # What the format allows where, and the names of voices.
 MARKERS = ["CHAT", "DIALOGUE", "GRAMMAR", "LESSON", "MODULE", "PRODUCE", "SELECT"]
@@ -38,7 +38,7 @@ c = F.col
 def _classes(docs: DataFrame) -> DataFrame:
     """kind of each line in the linter's order, with its parts."""
     marker = r"^\$(\w+)(?:" + T.SPACE + r"+(.*))?$"
-    out = lines(docs).withColumn("end", T.trim_end(c("raw"))).withColumn("bare", T.trim(c("raw")))
+    out = lines(by_document(docs)).withColumn("end", T.trim_end(c("raw"))).withColumn("bare", T.trim(c("raw")))
     kind = (
         F.when(c("bare") == "", "blank").when(c("bare").startswith("#"), "comment").when(c("end").startswith("$"), "marker")
         .when(c("bare").isin("MULTI", "REPEAT", "SHOW_PROMPT"), "flag").when(c("bare") == "AUDIO_ONLY", "audio_only").when(c("bare") == "EXAMPLE", "example")
@@ -130,7 +130,7 @@ def _items(out: DataFrame) -> DataFrame:
     number = F.flatten(F.transform(parts, lambda s, k: F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0))), lambda j: F.struct(k.alias("item"), (j == 0).alias("opens"), s.contains("A").alias("answered"), (F.length(s) > 0).alias("real")))))
     listed = F.filter(number, lambda x: x["real"])
     items = grouped.select("doc", F.explode(F.arrays_zip("rows", listed.alias("n"))).alias("r")).select("doc", c("r.rows.ln").alias("ln"), "r.n.item", (c("r.n.opens") & (c("r.n.item") > 0)).alias("opens"), "r.n.answered")
-    return out.join(items, ["doc", "ln"], "left")
+    return out.join(items.hint("merge"), ["doc", "ln"], "left")  # sizes are guessed from the documents': lines would be broadcast
 
 
 def lint(docs: DataFrame) -> DataFrame:

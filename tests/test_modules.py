@@ -3,6 +3,7 @@
 import pytest
 
 from primerflow.functions import text as T
+from primerflow.operators import figures
 from primerflow.operators import module as M
 from primerflow.operators.lint import lint, severity_counts
 from pyspark.sql import functions as F
@@ -105,3 +106,24 @@ def test_lint(spark, text, want):
 def test_severity_counts(spark):
     found = lint(spark.createDataFrame([("d", "")], "doc string, text string"))
     assert [tuple(r) for r in severity_counts(found).collect()] == [("d", 2, 0)]
+
+
+def test_lines_are_neither_broadcast_nor_shuffled(spark, tmp_path):
+    """Documents in a small file may have many lines: no join sends lines to the driver, and windows take documents as they are dealt."""
+    spark.createDataFrame([("d", "$SELECT S\nPROMPT: p\nANSWER: a")], "doc string, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        for df in (lint(docs), figures.at_source(lint(docs), M.lines(docs))):
+            assert "Broadcast" not in plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert plan(M.select_items(M.numbered(M.parse(docs), "SELECT"))).count("Exchange hashpartitioning") == 1
+
+
+def test_activities_are_numbered_within_their_lesson(spark):
+    text = "$SELECT A\n$CHAT B\n$LESSON One\n$SELECT C\nPROMPT: p\n$LESSON Two\n$LESSON Three\n$CHAT D\n$CHAT E"
+    rows = M.activities(M.parse(spark.createDataFrame([("d", text)], "doc string, text string"))).select("lesson_no", "act_no", "title").collect()
+    assert sorted(map(tuple, rows)) == [(1, 1, "A"), (1, 2, "B"), (2, 1, "C"), (4, 1, "D"), (4, 2, "E")]
