@@ -6,6 +6,7 @@ from primerflow.functions import text as T
 from primerflow.operators import figures
 from primerflow.operators import module as M
 from primerflow.operators.lint import lint, severity_counts
+from primerflow.plans import speech
 from pyspark.sql import functions as F
 
 HEAD = "$MODULE Title {cover.jpg}\nFORMAT: 2\nDIOCO_DOC_ID: d\nTARGET_LANG_G: fr\nHOME_LANG_G: en\n"
@@ -127,3 +128,10 @@ def test_activities_are_numbered_within_their_lesson(spark):
     text = "$SELECT A\n$CHAT B\n$LESSON One\n$SELECT C\nPROMPT: p\n$LESSON Two\n$LESSON Three\n$CHAT D\n$CHAT E"
     rows = M.activities(M.parse(spark.createDataFrame([("d", text)], "doc string, text string"))).select("lesson_no", "act_no", "title").collect()
     assert sorted(map(tuple, rows)) == [(1, 1, "A"), (1, 2, "B"), (2, 1, "C"), (4, 1, "D"), (4, 2, "E")]
+
+
+def test_subwords_are_shuffled_as_texts(spark, tmp_path):
+    """The shuffle stands below the cutting of texts into words and pieces, and none above it."""
+    spark.createDataFrame([(1, "some words")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lines = speech.subword_words(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert max(k for k, x in enumerate(lines) if "Generate" in x) < min(k for k, x in enumerate(lines) if "Exchange" in x)
