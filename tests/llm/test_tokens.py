@@ -76,6 +76,36 @@ def test_marks_behind_letters(texts):
         assert [np.frombuffer(x, "<u4").tolist() for x in library(path).packed(texts)] == [ids(path, t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZ\u00e9\u00d7\u00aa\u0416\u4e2d1 \n\r\t\x0b\x85\xa0\u3000.,'\"-()<|>\u0301"), max_size=20) | st.sampled_from(["<|endoftext|>", "a'll\nb's", ".\n<|endoftext", "|>.\n"]), max_size=20))
+def test_marks_and_lines_behind_letters(texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in library(BYTES).packed(texts)] == [ids(BYTES, t) for t in texts]
+
+
+def test_a_word_is_asked_once_whatever_follows_it(monkeypatch):
+    from primerflow.llm import library as module
+
+    asked = []
+    monkeypatch.setattr(module, "ids_of", lambda path, texts: asked.extend(texts) or ids_of(path, texts))
+    one = module.Library(BYTES)
+    texts = ["x wordy, wordy. wordy\nline wordy!!", "x wordy.\nline, wordy) wordy's\nline.", "x wordy"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in one.packed(texts)] == [ids(BYTES, t) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in one.packed(["x wordy?\nline wordy"])] == [ids(BYTES, "x wordy?\nline wordy")]
+    whole = "".join(asked)
+    assert whole.count("wordy") == 1 and whole.count("line") == 1 and one.mark not in whole
+
+
+def test_a_vocabulary_without_all_bytes(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    small = Tokenizer(models.BPE({"a": 0, "b": 1, "\u0120": 2, "ab": 3, "\u0120a": 4, ",": 5}, [("a", "b"), ("\u0120", "a")]))
+    small.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    small.add_special_tokens(["<|endoftext|>"])
+    small.save(path := str(tmp_path / "small.json"))
+    texts = ["ab ab, xa\nab zz", "x", "a<|endoftext|> xb"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in library(path).packed(texts)] == [ids(path, t) for t in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXTS)
 def test_codec_round_trip(text):
