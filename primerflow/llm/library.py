@@ -21,7 +21,8 @@ library itself cuts, except where these cost more than the words:
 Stretches that hold the string of a special token, and files of any other kind, go to it as they are.
 
 What it said is kept in a table with a slot for each of ``2**SLOT_BITS`` hashes (known by 128 bits, no object for a stretch)
-and a row of up to ``STORE`` ids; when that is full all is forgotten, so memory is bounded.
+and a row of up to ``STORE`` ids; when that is full all is forgotten, so memory is bounded. A worker keeps it from task to task,
+until it gets a task that does not ask (``common.mapped``).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import DROPS
 from .vocab import ids_of, tokenizer
 
 SLOT_BITS, STORE = 20, 1 << 22
@@ -291,3 +293,6 @@ def _without_steps(path: str):
 @lru_cache(maxsize=4)
 def library(path: str) -> Library:
     return Library(path)
+
+
+DROPS += [library.cache_clear, tokenizer.cache_clear]

@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, vocab: str, end_id: int = 0, length: int = LENGTH, i
                     rows[name].append(value)
         return rows
 
-    return by_batch(only(docs, "doc_id", "text"), run, _PIECES + ", ids binary" * ids)
+    return by_batch(only(docs, "doc_id", "text"), run, _PIECES + ", ids binary" * ids, keeps=True)
 
 
 class Places:

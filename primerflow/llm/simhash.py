@@ -43,6 +43,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 _HASHES, _PAIRS = 65_536, 500_000
 #: Rows that may share a key before it is cut up.
 PART = 8192
+#: Rows of a bucket of keys, about, and buckets at most.
+IN_BUCKET, BUCKETS = 1024, 1 << 20
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -112,13 +114,15 @@ def _keys(prints: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def keyed(distinct: DataFrame) -> DataFrame:
-    """key, side, fingerprint: all keys of each distinct fingerprint."""
+    """key, side, fingerprint: all keys of each distinct fingerprint. These are few bytes and become some 80 times as many
+    rows, so they are dealt out by number: by their size they would be one task's, and its file the next one's (by a hash: Spark leaves out a second deal by the column itself)."""
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batch: pa.RecordBatch) -> dict:
         sides, keys, prints = zip(*_keys(batch.column(0).to_numpy()))
         return {"key": np.concatenate(keys), "side": np.repeat(np.array(sides, np.int8), [k.size for k in keys]), "fingerprint": np.concatenate(prints)}
 
-    return by_batch(distinct.select("fingerprint"), run, "key long, side byte, fingerprint long")
+    return by_batch(distinct.select("fingerprint").repartition(tasks, F.xxhash64("fingerprint")), run, "key long, side byte, fingerprint long")
 
 
 def _verified(key: np.ndarray, side: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,9 +203,18 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
 
 def dealt(keys: DataFrame) -> DataFrame:
     """``keys`` with those that more than ``PART`` rows share cut up: the two lists of such a key are dealt into parts, and
-    every part of one meets every part of the other under a key of its own, so that no task grows with a key."""
+    every part of one meets every part of the other under a key of its own, so that no task grows with a key.
+
+    Nearly all keys are rare, and counts of each would fill an executor's heap: buckets of keys are counted first, and keys
+    only in buckets of more than ``PART`` rows."""
     keys = written(keys, "keys")
-    crowded = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART), "crowded-keys")
+    buckets = min(BUCKETS, 1 << (keys.count() // IN_BUCKET).bit_length())
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+    full = written(keys.select(bucket).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("bucket"), "full-buckets")
+    if full.isEmpty():
+        return keys
+    some = keys.select("key", bucket).join(F.broadcast(full), "bucket", "left_semi")  # of full buckets there are BUCKETS at most
+    crowded = written(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART), "crowded-keys")
     if crowded.isEmpty():
         return keys
     parts = F.ceil(F.col("n") / PART).cast("int")

@@ -89,7 +89,7 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
         if rows:
             yield block()
 
-    return mapped(only(docs, "doc_id", "text"), run, _BLOCKS)
+    return mapped(only(docs, "doc_id", "text"), run, _BLOCKS, keeps=True)
 
 
 def pack(rows: list[tuple], rank: np.ndarray) -> bytes:
@@ -158,7 +158,7 @@ def piece_counts(listed: DataFrame, path: str) -> DataFrame:
         if rows:
             yield packed()
 
-    return mapped(listed.select("piece", "block", "place"), run, _COUNTS)
+    return mapped(listed.select("piece", "block", "place"), run, _COUNTS, keeps=True)
 
 
 def count(docs: DataFrame, path: str) -> DataFrame:

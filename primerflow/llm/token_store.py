@@ -82,7 +82,7 @@ def write(docs: DataFrame, vocab: str, end_id: int = 0, path: str | None = None)
 
     ordered = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     catalog = f"{path}/catalog"
-    mapped(ordered, shard, _CATALOG).write.parquet(catalog)
+    mapped(ordered, shard, _CATALOG, keeps=True).write.parquet(catalog)
     return Store(path, spark.read.schema(_CATALOG).parquet(catalog))
 
 

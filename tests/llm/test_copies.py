@@ -70,6 +70,18 @@ def test_all_pairs_within_three_bits_are_linked(spark, monkeypatch, part):
     assert [got[k] for k in range(len(prints))] == want
 
 
+def test_rare_keys_are_not_counted_one_by_one(spark, monkeypatch):
+    """A count of all keys took an executor's heap, and one task made and one task counted them."""
+    rng = random.Random(8)
+    prints = spark.createDataFrame([(rng.getrandbits(64) - 2**63,) for _ in range(3000)], "fingerprint long")
+    assert simhash.keyed(prints.distinct()).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written, tags = simhash.written, []
+    monkeypatch.setattr(simhash, "written", lambda df, tag: tags.append(tag) or written(df, tag))
+    keys = simhash.keyed(prints)
+    assert simhash.dealt(keys).count() == keys.count()
+    assert "full-buckets" in tags and "crowded-keys" not in tags
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
     got = sorted((r.doc_id or -1, r.fingerprint & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(odd).collect())
     prints = [plain_fingerprint(t, 3) for _, t in odd_rows]

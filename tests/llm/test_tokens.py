@@ -218,5 +218,20 @@ def test_packing(odd, odd_rows, empty):
     assert sum(len(r.ids) for r in whole) == 4 * sum(w[3] for w in want)
 
 
+def test_other_tasks_drop_what_workers_keep_of_the_library(spark, odd):
+    """Workers go on with the library while they pack, and give it up for a task of another operator."""
+    from primerflow.llm import common
+
+    def held(keeps):
+        def run(batch):
+            return {"id": batch.column(0), "n": [library.cache_info().currsize + tokenizer.cache_info().currsize] * batch.num_rows}
+
+        return {r["n"] for r in common.by_batch(spark.range(64).repartition(8), run, "id long, n long", keeps).collect()}
+
+    packing.pieces(odd, public("word_bpe_49k.json")).count()
+    assert held(True) - {0}
+    assert held(False) == {0}
+
+
 def test_ids_of_takes_special_strings_as_the_library_does():
     assert ids_of(BYTES, ["a<|endoftext|>b"])[0] == ids(BYTES, "a<|endoftext|>b") and 50256 in ids(BYTES, "a<|endoftext|>b")
