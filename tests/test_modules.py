@@ -135,3 +135,19 @@ def test_subwords_are_shuffled_as_texts(spark, tmp_path):
     spark.createDataFrame([(1, "some words")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     lines = speech.subword_words(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("\n")
     assert max(k for k, x in enumerate(lines) if "Generate" in x) < min(k for k, x in enumerate(lines) if "Exchange" in x)
+
+
+def test_nesting_reads_lines_once(spark):
+    """Dialogues, exercises, plain lessons and empty activities in one value, from one pass over the lines."""
+    text = "$DIALOGUE\nLINE:\nBob: {a.mp3}\nAnn: hi {p.png}\nLINE: more\nNOTES: n\n$LESSON Two\n$LESSON\n$SELECT S\nOPTION: a | One\nPROMPT: p {x.mp3}\nANSWER: ,\nTEMPLATE: t\nANSWER: b, a\nTEMPLATE: u\n$PRODUCE\nPROMPT:\nRESPONSE: r {r.mp3} {q.png}\n$CHAT C\n"
+    out = M.nested(parsed(spark, text))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+    lessons = out.collect()[0].lessons
+    assert [(x.lesson_no, x.id, x.title) for x in lessons] == [(1, "default-lesson", "Default Lesson"), (2, "two", "Two"), (3, "untitled", "Untitled Lesson")]
+    assert lessons[1].activities is None
+    acts = [(a.act_no, a.type, a.id, a.title, a.items and [tuple(i) for i in a.items]) for x in lessons for a in x.activities or []]
+    assert acts == [
+        (1, "DIALOGUE", "dialogue-dialogue", "Dialogue", [(1, "hi", "Ann"), (2, "more", "Ann")]),
+        (1, "SELECT", "select-s", "S", [(1, "p", "b,a"), (2, None, "")]),
+        (2, "PRODUCE", "produce-produce", "Produce", [(1, "", "r {r.mp3} {q.png}")]), (3, "CHAT", "chat-c", "C", None),
+    ]
