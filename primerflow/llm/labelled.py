@@ -47,11 +47,14 @@ _PARTS = 8
 
 def gather(docs: DataFrame, chosen: DataFrame, *columns: str) -> Sample:
     """Features of the chosen ids' documents, up to ``FEATURES`` of them. ``chosen`` has a bounded number of rows, so it is
-    broadcast. Of rows that share an id, one is taken."""
+    broadcast. Of rows that share an id, one is taken (the shortest text, then the first) before features are made, so that
+    neither these nor what the driver takes in grow with the rows of an id."""
     own = docs.select("doc_id", "text", *[column_or_null(docs, c).alias(c) for c in columns])
     columns = (*columns, *[c for c in chosen.columns if c != "doc_id"])
     joined = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *columns)
     kinds = dict(joined.dtypes)
+    one = joined.groupBy("doc_id").agg(F.min(F.struct(F.length("text"), "text", *[F.col(f"`{c}`") for c in columns])).alias("r")).select("doc_id", *[F.col(f"r.`{c}`") for c in ("text", *columns)])
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes of text, but far more of features
 
     def run(batch: pa.RecordBatch) -> dict:
         place, value = [], []
@@ -63,28 +66,25 @@ def gather(docs: DataFrame, chosen: DataFrame, *columns: str) -> Sample:
         return {"doc_id": batch.column(0), "place": place, "value": value} | {c: batch.column(2 + k) for k, c in enumerate(columns)}
 
     schema = "doc_id long, place binary, value binary" + "".join(f", `{c}` {kinds[c]}" for c in columns)
-    made = written(by_batch(joined, run, schema), "features")
-    size = made.groupBy("doc_id").agg(F.min(F.length("place")).alias("n"), F.max(F.length("place")).alias("most")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    made = written(by_batch(one.repartition(tasks, F.xxhash64("doc_id")), run, schema), "features")
+    size = made.select("doc_id", F.length("place").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     taken = np.cumsum([0, *[r["n"] for r in size]])[:-1] < 4 * FEATURES
     fits = np.array([r["doc_id"] for r in size], np.int64)[taken]
-    room = sum(r["most"] // 4 for r, t in zip(size, taken) if t)
+    room = sum(r["n"] // 4 for r, t in zip(size, taken) if t)
     # filled in place: the driver holds the sample once
     row, place, value = np.empty(room, np.uint16 if fits.size <= 2**16 else np.int32), np.empty(room, np.int32), np.empty(room, np.float32)
     ids, extra, end = [], {c: [] for c in columns}, 0
     for part in np.array_split(np.sort(fits), _PARTS):
         rows = made.where(F.col("doc_id").isin(part.tolist())).collect() if part.size else []
-        last = None
-        for r in sorted(rows, key=lambda r: (r["doc_id"], r["place"], r["value"])):
-            if r["doc_id"] != last:
-                last = r["doc_id"]
-                at = slice(end, end := end + len(r["place"]) // 4)
-                row[at], place[at], value[at] = len(ids), np.frombuffer(r["place"], "<i4"), np.frombuffer(r["value"], "<f4")
-                ids.append(last)
-                for c in columns:
-                    extra[c].append(r[c])
+        for r in sorted(rows, key=lambda r: r["doc_id"]):
+            at = slice(end, end := end + len(r["place"]) // 4)
+            row[at], place[at], value[at] = len(ids), np.frombuffer(r["place"], "<i4"), np.frombuffer(r["value"], "<f4")
+            ids.append(r["doc_id"])
+            for c in columns:
+                extra[c].append(r[c])
         del rows
         release()
-    return Sample(np.array(ids, np.int64), row[:end], place[:end], value[:end], extra)
+    return Sample(np.array(ids, np.int64), row, place, value, extra)
 
 
 def held_out(ids: np.ndarray, salt: int = 0, share: int = 5) -> np.ndarray:

@@ -211,3 +211,18 @@ def test_every_unlabelled_document_is_searched(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
     p = {r.doc_id: r.p_page for r in cotraining.score(docs, cotraining.train(docs, labels)).collect()}
     assert max(p[i] for i in by_hash[1300:]) < 0.5 < min(p[i] for i in by_hash[:1300])
+
+
+def test_rows_of_an_id_do_not_add_up(spark, monkeypatch):
+    """Rows that share a labelled id come to the driver once, the shortest text of them, whatever their number."""
+    rng = random.Random(3)
+    rows = [(k, words(rng, 60)) for k in range(6)] + [(2, "one short text")] + [(3, words(rng, 61)) for _ in range(40)]
+    docs, taken = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), []
+    chosen = spark.createDataFrame([(k, k % 2, 1.0) for k in range(5)], "doc_id long, quality int, weight double")
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: [taken.append(r) or r for r in collect(self)])
+    sample = gather(docs, chosen)
+    assert sorted(r["doc_id"] for r in taken if "place" in r) == list(range(5))
+    assert sample.ids.tolist() == list(range(5)) and sample.extra["quality"] == [0, 1, 0, 1, 0]
+    want = text_model.Words([b"one short text"]).features()
+    assert sample.place[sample.row == 2].tolist() == want[1].tolist() and sample.row.size == sample.place.size == sample.value.size
